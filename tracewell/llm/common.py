@@ -25,11 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

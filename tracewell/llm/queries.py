@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, simhash
+from . import ann, bpe, langid, line_dedup, mixing, quality, simhash, spotsigs, token_counts
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "lines_removed")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    return token_counts.document_counts(_documents(spark, sf_dir), path, end_id=50_256)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -38,9 +47,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(_documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_mixing, op5_simhash, op6_language_id, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op8_quality, op9_spotsigs, op10_byte_bpe)}
 SQL: dict[str, str] = {}
