@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, mixing, quality, simhash, spotsigs, token_counts
+from . import ann, bpe, langid, line_dedup, lm, mixing, quality, simhash, spotsigs, token_counts
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -60,5 +64,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizer
     return bpe.digests(_documents(spark, sf_dir), path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op8_quality, op9_spotsigs, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op7_lm_score, op8_quality, op9_spotsigs, op10_byte_bpe)}
 SQL: dict[str, str] = {}
