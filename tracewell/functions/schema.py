@@ -6,6 +6,8 @@ that they can be changed.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Envelope of one log line. value is text; a JSON object in it stays text.
@@ -25,10 +27,12 @@ ENTRY = T.StructType(
 FIELDS = ENTRY.fieldNames()
 
 # Keys of entries: fixed values of the log format.
+#: Engine events: "<name of the engine>-event"; this one is written, any is read.
+EVENT = "engine-event"
+EVENT_PATTERN = "^[a-z]+-event$"
 WF_NAME = "wf-name"
 WF_TIME = "wf-time"
 WF_OUTPUT = "wf-output"
-EVENT = "hiway-event"
 HOST = "invoc-host"
 TIME = "invoc-time"
 TIME_SCHED = "invoc-time-sched"
@@ -48,3 +52,7 @@ USER = "invoc-user"
 REQUESTED = "container-requested"
 ALLOCATED = "container-allocated"
 COMPLETED = "container-completed"
+
+
+def is_event(key: str = "key") -> Column:
+    return F.col(key).rlike(EVENT_PATTERN)

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.scalar import real_time, real_time_or_one
 
-ORDER = F.struct("source", "line_no")
+
+
+def _order() -> Column:
+    return F.struct("source", "line_no")
 
 
 def _last(key: str, value: Column | str = "value") -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    return F.max_by(value, F.when((F.col("key") == key) & value.isNotNull(), ORDER))
+    return F.max_by(value, F.when((F.col("key") == key) & value.isNotNull(), _order()))
 
 
 def runs(entries: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def runs(entries: DataFrame) -> DataFrame:
 def tasks(entries: DataFrame) -> DataFrame:
     """(task_id, task_name, lang) as first seen; 0 means no task."""
     known = entries.filter("task_id is not null and task_id <> 0")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), ORDER)).alias(c)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), _order())).alias(c)
     return known.groupBy("task_id").agg(first("task_name"), first("lang"))
 
 
@@ -43,8 +46,8 @@ def invocations(entries: DataFrame, timestamp: str = "first") -> DataFrame:
     """
     own = entries.filter("invoc_id is not null and invoc_id <> 0 and run_id is not null")
     ran = F.when(F.col("key") == S.TIME, F.col("timestamp"))
-    stamp = {"first": F.min_by("timestamp", ORDER), "last": F.max_by("timestamp", ORDER), "time": F.coalesce(F.max_by(ran, F.when(ran.isNotNull(), ORDER)), F.lit(-1).cast("long"))}
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), ORDER)).alias(c)
+    stamp = {"first": F.min_by("timestamp", _order()), "last": F.max_by("timestamp", _order()), "time": F.coalesce(F.max_by(ran, F.when(ran.isNotNull(), _order())), F.lit(-1).cast("long"))}
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), _order())).alias(c)
     value = F.col("value")
     return own.groupBy("run_id", "invoc_id").agg(
         first("task_id"), first("task_name"), first("lang"), stamp[timestamp].alias("timestamp"), _last(S.HOST).alias("host"),
@@ -60,7 +63,7 @@ def files(entries: DataFrame) -> DataFrame:
     sizes, value = F.col("key").isin(S.FILE_SIZE_IN, S.FILE_SIZE_OUT), F.col("value")
     size = F.when(sizes, value.try_cast("long"))
     return own.groupBy("run_id", "invoc_id", "file").agg(
-        F.max_by(size, F.when(size.isNotNull(), ORDER)).alias("size"),
+        F.max_by(size, F.when(size.isNotNull(), _order())).alias("size"),
         _last(S.FILE_TIME_IN, real_time(value)).alias("real_time_in"), _last(S.FILE_TIME_OUT, real_time(value)).alias("real_time_out"),
     )
 
@@ -74,7 +77,7 @@ def texts(entries: DataFrame) -> DataFrame:
 
 def events(entries: DataFrame, latest: bool = False) -> DataFrame:
     """(run_id, type, content) of engine events: all of them, or the latest of each type."""
-    own = entries.filter(F.col("key") == S.EVENT).withColumn("type", F.get_json_object("value", "$.type"))
+    own = entries.filter(S.is_event()).withColumn("type", F.get_json_object("value", "$.type"))
     if latest:
-        return own.groupBy("run_id", "type").agg(F.max_by("value", ORDER).alias("content"))
+        return own.groupBy("run_id", "type").agg(F.max_by("value", _order()).alias("content"))
     return own.select("run_id", "type", F.col("value").alias("content"))

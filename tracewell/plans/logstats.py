@@ -18,7 +18,7 @@ BY, FILE_ORDER, TIME_ORDER = ["source"], ["line_no"], ["timestamp", "line_no"]
 
 
 def _type() -> Column:
-    return F.when(F.col("key") == S.EVENT, F.get_json_object("value", "$.type"))
+    return F.when(S.is_event(), F.get_json_object("value", "$.type"))
 
 
 def _container() -> Column:

@@ -169,19 +169,22 @@ def runs_per_workflow(spark, sf_dir):
 
 
 LAST = "(l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
-PLACE = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
+def _place():
+    return F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
 
 
 @query(f"SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, arg_max(l_suppkey, {LAST}) AS host, arg_max(l_quantity, {LAST}) AS real_time, count(*) AS entries FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def upsert_last_wins(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.max_by("l_suppkey", PLACE).alias("host"), F.max_by("l_quantity", PLACE).alias("real_time"), F.count("*").alias("entries"))
+    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.max_by("l_suppkey", _place()).alias("host"), F.max_by("l_quantity", _place()).alias("real_time"), F.count("*").alias("entries"))
 
 
 @query(f"SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, arg_min(l_partkey, {LAST}) AS task_id, arg_min(epoch_us(l_shipdate), {LAST}) AS first_us FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def first_wins_timestamp(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumn("us", micros("l_shipdate"))
-    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.min_by("l_partkey", PLACE).alias("task_id"), F.min_by("us", PLACE).alias("first_us"))
+    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.min_by("l_partkey", _place()).alias("task_id"), F.min_by("us", _place()).alias("first_us"))
 
 
 @query("SELECT l_orderkey AS run_id, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS task_ids FROM lineitem GROUP BY l_orderkey")
