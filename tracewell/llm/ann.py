@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_iter
+
 #: Vectors that centres are learned from at most, rows of a block, candidates ranked again of each block.
 SAMPLE, ROWS, AGAIN = 8_000, 4_096, 64
 SUB, CENTRES, ROUNDS, THRESHOLD = 2, 16, 4, 0.2
@@ -138,7 +140,7 @@ def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
                 codes = packed(shared.value.encode(_unit(_matrix(b.column(1)))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<double>, codes binary")
+    return map_iter(vectors, run, "vec_id long, v array<double>, codes binary")
 
 
 def best(approx: np.ndarray, most: int) -> np.ndarray:

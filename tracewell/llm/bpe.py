@@ -169,7 +169,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Cache(dict):
     """Piece to its ids as little-endian 32-bit integers; keeps the newest entries, `most` to twice as many."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
         super().__init__()
         self.ranks, self.most, self.old = ranks, most, {}
 

@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..storage import dropped, shared_dir, stored  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new local one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/tracewell-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
@@ -65,12 +39,30 @@ def slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]
         yield start, len(sizes)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: Bytes of an Arrow batch, so that long texts don't fill a worker's memory ten thousand at a time.
+BATCH = 4 << 20
+
+
+def release() -> None:
+    """Gives freed memory back to the system; workers live on and would keep it for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_iter(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of BATCH bytes (a setting of the session from then on)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield from f(b)
+        yield from f(batches)
+        release()
 
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """The same with a function of one batch that has rows."""
+    return map_iter(df, lambda batches: (x for b in batches if b.num_rows for x in f(b)), schema)

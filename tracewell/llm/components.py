@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, map_iter, stored
 
 #: Edges that one task contracts at a time.
 CHUNK = 200_000
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     on and pre-aggregated, never gathered. Loops and repeated edges do no harm; null ends are ignored; no edges
     give no rows.
     """
-    left = stored(edges.select("a", "b").dropna().filter("a <> b").mapInArrow(_contract, "a long, b long"))
+    left = stored(map_iter(edges.select("a", "b").dropna().filter("a <> b"), _contract, "a long, b long"))
     maps: list[DataFrame] = []
     while not left.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), c.alias("x"))  # noqa: E731, B023

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, crc_mod, map_batches, slices
 
@@ -200,7 +201,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = as_bytes(b.column(1))
-        for i, j in slices(text, 6_000_000):
+        for i, j in slices(text, 2_000_000):
             langs, scores = shared.value.predict([x or b"" for x in text.slice(i, j - i).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -214,11 +215,9 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = as_bytes(b.column(b.schema.get_field_index("text")))
-        for i, j in slices(text, 6_000_000):
+        for i, j in slices(text, 2_000_000):
             langs, scores = shared.value.predict([x or b"" for x in text.slice(i, j - i).to_pylist()])
             part = b.slice(i, j - i)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
-    return kept.mapInArrow(lambda bs: (x for b in bs if b.num_rows for x in run(b)), T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

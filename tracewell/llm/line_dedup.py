@@ -45,7 +45,7 @@ def windows(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, int,
 def _windows_of(docs: DataFrame, least: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-        for s, e in slices(text):
+        for s, e in slices(text, 2_000_000):
             rows = [(k, *w) for k, x in zip(ids[s:e].tolist(), text.slice(s, e - s)) if (t := x.as_py()) for w in windows(t, least)]
             if rows:
                 doc, i, j, h, digest = zip(*rows)
@@ -110,4 +110,4 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     own = docs.withColumn("text", F.col("text").cast("string"))
     joined = own.join(spans, own["doc_id"] == spans["_doc"], "left").drop("_doc")
     schema = T.StructType([*own.schema.fields, T.StructField("lines_removed", T.LongType())])
-    return joined.mapInArrow(lambda bs: (x for b in bs if b.num_rows for x in run(b)), schema)
+    return map_batches(joined, run, schema)

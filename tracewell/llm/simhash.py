@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, stored
+from .common import as_bytes, map_batches, map_iter, stored
 from .components import connected_components, spanning_forest
 
 WORDS, BITS, SEGMENTS, SEED = 3, 3, 4, 42
@@ -110,7 +110,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the ring of four segments proves chains for 3 bits at most")
     keyed = map_batches(fps.select("fp").distinct(), _keys, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "a long, b long")
+    return map_iter(keyed.repartition("key").sortWithinPartitions("key"), _links(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:

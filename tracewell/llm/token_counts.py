@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _each
-from .common import stored
+from .common import map_iter, stored
 
 #: Ids of a block, and blocks of a span of the prefix scan.
 BLOCK, SPAN = 1 << 18, 1 << 10
@@ -35,7 +35,7 @@ def read_flat(spark: SparkSession, path: str, dtype: str = "<u2", block: int = B
                 for i in range(0, max(1, len(view)), size):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // size]), pa.array([bytes(view[i : i + size])], pa.binary())], ["file", "block", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids binary")
+    return map_iter(spark.read.format("binaryFile").load(path).select("path", "content"), run, "file string, block long, ids binary")
 
 
 def summaries(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
@@ -54,7 +54,7 @@ def summaries(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
                 size, head, inside, last = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(head, pa.int64()), pa.array(inside, pa.list_(pa.int64())), pa.array(last, pa.int64())], ["file", "block", "size", "head", "inside", "last"])
 
-    return blocks.select("file", F.col("block").cast("long"), "ids").mapInArrow(run, "file string, block long, size long, head long, inside array<long>, last long")
+    return map_iter(blocks.select("file", F.col("block").cast("long"), "ids"), run, "file string, block long, size long, head long, inside array<long>, last long")
 
 
 def _before(df: DataFrame, by: list[str], order: str, into: str) -> DataFrame:
@@ -113,7 +113,7 @@ def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> D
             yield out(bytes(ids))
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "file string, block long, ids binary, first long, doc_ids array<long>")
+    return map_iter(own, run, "file string, block long, ids binary, first long, doc_ids array<long>")
 
 
 def document_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
