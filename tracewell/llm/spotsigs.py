@@ -20,26 +20,23 @@ COMMON = (
 ).split()
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+    """df with the sorted set of 64-bit signature hashes of a whole text; null and texts without a word: empty.
 
-
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted set of 64-bit signature hashes of a whole text; null and texts without a word: empty.
-
-    Words are runs of letters and digits, lower-cased (A-Z). Common words in a row are one anchor. A text in which no
-    chain is complete has one signature, of its words as they are.
+    Words are runs of letters and digits in lower case. Common words in a row are one anchor. A text in which no chain
+    is complete has one signature, of its words as they are. Each step is a column of its own, so that none is
+    evaluated twice.
     """
-    words = F.regexp_extract_all(_lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     # "the of word\n": each content word ends a group that begins with the common words before it
-    marked = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(*COMMON), " ").otherwise("\n"))), "")
-    groups = F.split(marked, "\n")
-    chained = groups
+    df = df.withColumn("_m", F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(*COMMON), " ").otherwise("\n"))), ""))
+    df = df.withColumn("_g", F.split("_m", "\n")).withColumn("_c", F.col("_g"))
     for k in range(1, chain):
-        later = F.slice(groups, k + 1, F.greatest(F.size(groups), F.lit(1)))
-        chained = F.zip_with(chained, later, lambda a, b: F.when(F.instr(a, " ") > 0, F.concat(a, F.lit("\n"), F.when(b != "", F.substring_index(b, " ", -1)))))
-    hashes = F.array_distinct(F.transform(F.array_compact(chained), lambda x: F.xxhash64(x)))
-    return F.sort_array(F.when(F.size(hashes) > 0, hashes).when(marked != "", F.array(F.xxhash64(marked))).otherwise(hashes))
+        later = F.slice("_g", F.lit(k + 1), F.size("_g"))
+        df = df.withColumn("_c", F.zip_with("_c", later, lambda a, b: F.when(F.instr(a, " ") > 0, F.concat(a, F.lit("\n"), F.when(b != "", F.substring_index(b, " ", -1))))))
+    df = df.withColumn("_h", F.array_distinct(F.transform(F.array_compact("_c"), lambda x: F.xxhash64(x))))
+    whole = F.when(F.col("_m") != "", F.array(F.xxhash64("_m"))).otherwise(F.col("_h"))
+    return df.withColumn(out, F.sort_array(F.when(F.size("_h") > 0, F.col("_h")).otherwise(whole))).drop("_m", "_g", "_c", "_h")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -102,7 +99,8 @@ def edited_likeness(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("next", F.lead("text").over(order)).withColumn("n_chars", F.length("text"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next", F.lit(1), half)))
-    rows = rows.withColumn("a", signatures(F.col("text"), chain)).withColumn("e", signatures(F.when(~F.col("guest"), F.col("edited")), chain))
+    rows = rows.withColumn("edited", F.when(~F.col("guest"), F.col("edited")))
+    rows = with_signatures(with_signatures(rows, "text", "a", chain), "edited", "e", chain)
     rows = rows.select("doc_id", "bucket", "guest", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e")
     rows = rows.withColumn("b", F.lead("a").over(order)).filter("not guest")
     return rows.select(
