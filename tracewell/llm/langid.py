@@ -90,13 +90,14 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        self.table = np.full((len(nxt), width), -1, np.int32)
+        # the last state has no way on: there a symbol leads that never occurs, which is a phrase by itself
+        self.table = np.full((len(nxt) + 1, width), -1, np.int32)
+        self.table[0] = len(nxt) * width
         for q, to in enumerate(nxt):
             for c, r in to.items():
                 self.table[q, c] = r * width
         self.table = self.table.ravel()
-        root = self.table[:width]
-        self.first = np.where(root < 0, 0, root)  # a symbol that never occurs is a phrase by itself
+        self.first = self.table[:width].copy()
 
     def phrases(self, symbols: np.ndarray, active: list[int]) -> np.ndarray:
         """Number of phrases of each column of symbols (steps by pieces); at step i the first active[i] columns go on."""
@@ -208,16 +209,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns lang_pred and score; its own columns stay as they are, these two are replaced."""
+def with_language(docs: DataFrame, model: Model, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs with two more columns, which must not be among its own: the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = as_bytes(b.column(b.schema.get_field_index("text")))
         for i, j in slices(text, 2_000_000):
             langs, scores = shared.value.predict([x or b"" for x in text.slice(i, j - i).to_pylist()])
             part = b.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_as, score_as])
 
-    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))
