@@ -16,6 +16,14 @@ from ..storage import dropped, shared_dir, stored  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_batches, slices, stored
+from .common import as_bytes, fresh, map_batches, slices, stored
 
 #: A passage of over 50 words is always found.
 LEAST_WORDS = 50
@@ -83,31 +83,31 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(x for x, g in zip(lines, gone) if not g), int(gone.sum())
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """docs with the text's repeated runs deleted, and the column lines_removed.
+def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, removed_as: str = "lines_removed") -> DataFrame:
+    """docs with the text's repeated runs deleted, and one more column, the number of lines removed.
 
     A text whose lines are all repeated becomes empty; null and empty texts stay, with 0 lines removed; rows without
     a doc_id are neither changed nor looked at. Lines with less than `least` words in all stay, however frequent. Of
-    equal rows (same doc_id) the runs count as one place, and all are cut alike. A column lines_removed is replaced,
-    all others are kept.
+    equal rows (same doc_id) the runs count as one place, and all are cut alike. All columns are kept; the new one must
+    not be among them.
     """
-    docs = docs.drop("lines_removed")
-    spans = repeats(docs, least).toDF("_doc", "_spans")
+    doc, cuts = fresh(docs, "_doc"), fresh(docs, "_spans")
+    spans = repeats(docs, least).toDF(doc, cuts)
     at = docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, cuts = b.column(at), b.column(b.num_columns - 1)
+        texts, found = b.column(at), b.column(b.num_columns - 1)
         out, removed = [], []
         for k in range(b.num_rows):
-            c = cuts[k].as_py()
+            c = found[k].as_py()
             text, n = without(texts[k].as_py(), [(x["i"], x["j"]) for x in c]) if c else (texts[k].as_py(), 0)
             out.append(text)
             removed.append(n)
         columns = b.columns[:-1]
         columns[at] = pa.array(out, pa.string())
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], [*b.schema.names[:-1], "lines_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], [*b.schema.names[:-1], removed_as])
 
     own = docs.withColumn("text", F.col("text").cast("string"))
-    joined = own.join(spans, own["doc_id"] == spans["_doc"], "left").drop("_doc")
-    schema = T.StructType([*own.schema.fields, T.StructField("lines_removed", T.LongType())])
+    joined = own.join(spans, own["doc_id"] == spans[doc], "left").drop(doc)
+    schema = T.StructType([*own.schema.fields, T.StructField(removed_as, T.LongType())])
     return map_batches(joined, run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, fresh
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
@@ -46,27 +46,35 @@ def unit(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
+def _copies(rate: Column, key: Column, seed: int) -> Column:
+    """floor(rate), and one more with the fraction as probability."""
+    return (F.floor(rate) + (unit(key, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def _rated(docs: DataFrame, to: DataFrame, source: str) -> DataFrame:
+    """docs joined with one row per source."""
+    return docs.join(to, docs["source"].eqNullSafe(to[source]))
+
+
 def rates(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs' doc_id and source with size, source_size, target, copies and taken (words of all copies).
 
     The rate of a source is target over size; a source without words has rate 0. Equal doc_ids draw equal numbers, so
-    that reruns and repeated rows agree. A null source is a source; a null doc_id draws as the empty text.
+    that reruns and repeated rows agree. A null source is a source; a null doc_id draws as the empty text; null and
+    empty texts have size 0. An empty table gives no rows.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    to = targets(sized, weights, share, most)
+    to = targets(sized, weights, share, most).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    same = sized["source"].eqNullSafe(to["source"])
-    return (
-        sized.join(to, same).drop(to["source"])
-        .withColumn("copies", (F.floor(rate) + (unit(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    out = _rated(sized, to, "_source").drop("_source").withColumn("copies", _copies(rate, F.col("doc_id"), seed))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it: rows taken 0 times go, the others are repeated."""
+    source, rate, copies = (fresh(docs, c) for c in ("_source", "_rate", "_copies"))
     to = targets(docs.select("source", n_words(F.col("text")).alias("size")), **{k: v for k, v in how.items() if k != "seed"})
-    to = to.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    copies = F.floor("_rate") + (unit(F.col("doc_id"), how.get("seed", 7)) < F.col("_rate") - F.floor("_rate")).cast("long")
-    often = docs.join(to, docs["source"].eqNullSafe(to["_source"])).withColumn("_copies", F.sequence(F.lit(1), copies.cast("int")))
-    return often.filter(copies > 0).withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+    to = to.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    times = _copies(F.col(rate), F.col("doc_id"), how.get("seed", 7))
+    often = _rated(docs, to, source).withColumn(copies, times).filter(F.col(copies) > 0)
+    return often.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

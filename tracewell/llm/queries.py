@@ -65,4 +65,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizer
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op7_lm_score, op8_quality, op9_spotsigs, op10_byte_bpe)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+        w AS (SELECT *, CAST(CASE (place - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM n),
+        r AS (SELECT *, cap / weight AS ratio, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w),
+        l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+        x AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
+        t AS (SELECT source, source_size, least(cap, x.level * weight) AS target FROM l, x),
+        m AS (SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+            CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS unit
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM m)
+        SELECT doc_id, source, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM c""",
+}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CHAIN = 2
 #: Common words of the four languages (fixed values; any list does, as long as it stays the same).
 COMMON = (
@@ -107,3 +109,34 @@ def edited_likeness(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"),
     )
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, class_id) and links (a, b, likeness) between classes with a < b.
+
+    Documents with equal signature sets are one class, named by its smallest doc_id; copies are never compared. Two
+    sets with a likeness of the threshold or more have sizes within that ratio and share one of the rarest
+    signatures of either (as many as may be missing from the other, and one). Sets are dealt by size to partitions
+    whose bounds grow by 1 / threshold, so that a set meets only those of its own and the next one, on a shared rare
+    signature; candidates are then compared in full. Documents without a doc_id or without a word take no part.
+    """
+    own = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "a", chain)
+    own = own.filter("doc_id is not null and size(a) > 0").select("doc_id", "a", fingerprint(F.col("a")).alias("f"))
+    sets = own.groupBy("f").agg(F.min("doc_id").alias("class_id"), F.first("a").alias("a"))
+    members = own.select("doc_id", "f").join(sets.select("f", "class_id"), "f").select("doc_id", "class_id")
+    sets = stored(sets.select("class_id", "a", F.size("a").alias("n")))
+    each = sets.select("class_id", "n", F.explode("a").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1")  # the others are in one set only
+    place = Window.partitionBy("class_id").orderBy("often", "sig")
+    lone = sets.select("class_id", "a").join(each.join(often, "sig").groupBy("class_id").agg(F.count("*").alias("shared")), "class_id").select("class_id", (F.size("a") - F.col("shared")).alias("lone"))
+    rare = each.join(often, "sig").join(lone, "class_id").withColumn("place", F.row_number().over(place) + F.col("lone"))
+    rare = rare.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    rare = rare.select("sig", "class_id", "n", band.alias("band"))
+    left = rare.toDF("sig", "x", "nx", "band")
+    right = rare.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band")))).toDF("sig", "y", "ny", "band")
+    fits = (F.col("nx") <= F.col("ny")) & (F.col("ny") * threshold <= F.col("nx") + 1e-9) & ((F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y")))
+    pairs = left.join(right, ["sig", "band"]).filter(fits).select("x", "y").distinct()
+    both = pairs.join(sets.select(F.col("class_id").alias("x"), F.col("a").alias("ax")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("a").alias("ay")), "y")
+    linked = both.withColumn("likeness", likeness(F.col("ax"), F.col("ay"))).filter(F.col("likeness") >= threshold)
+    return members, linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
