@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,3 +35,15 @@ def dropped(df: DataFrame) -> None:
         if "/tracewell-" in f:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, unless they find it on their path (PYTHONPATH, or the working directory)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in map(os.path.abspath, filter(None, known)) or getattr(context, "_tracewell_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tracewell"), "zip", root, "tracewell")
+    context.addPyFile(archive)  # the driver serves it to executors
+    context._tracewell_shipped = True
