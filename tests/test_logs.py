@@ -3,7 +3,7 @@
 import json
 
 import pytest
-import worked
+from . import worked
 
 from tracewell.plans import ingest, logstats, provenance
 from tracewell.sources import logs, replay

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-import worked
+from . import worked
 
 from tracewell.operators.estimate import wiener_estimates
 from tracewell.sources import dax, galaxy
