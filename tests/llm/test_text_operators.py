@@ -146,7 +146,9 @@ def test_simhash(spark, odd, odd_rows):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in got if r.doc_id is None or r.component_id == r.doc_id)
 
 
-def test_links_lose_no_component(spark):
+@pytest.mark.parametrize("many", [20_000, 5])
+def test_links_lose_no_component(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(300)}
     for v in list(values)[:80]:
@@ -154,6 +156,8 @@ def test_links_lose_no_component(spark):
             for b in rng.sample(range(64), rng.randrange(1, 5)):
                 v ^= 1 << b
             values.add(v)
+    hot = rng.getrandbits(64)
+    values |= {hot ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(8)) ^ (1 << rng.randrange(8)) for _ in range(200)}
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed * 2], "fp long")
     links = [(r.a, r.b) for r in simhash.links(df).collect()]

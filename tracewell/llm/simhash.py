@@ -21,6 +21,8 @@ from .common import as_bytes, map_batches, map_iter, stored
 from .components import connected_components, spanning_forest
 
 WORDS, BITS, SEGMENTS, SEED = 3, 3, 4, 42
+#: Fingerprints of a key that are compared in one go; more are dealt to pairs of blocks.
+MANY = 20_000
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 16
 
@@ -105,11 +107,26 @@ def _links(bits: int):
     return run
 
 
+def _split(keyed: DataFrame, often: DataFrame) -> DataFrame:
+    """Keys with over MANY fingerprints (often: key, n) as one for each pair of blocks of them: every two fingerprints
+    still meet on some key, and no key has more than about twice MANY. Keys are hashes; where two collide, candidates
+    are added, and the Hamming check sorts them out."""
+    found = keyed.join(often, "key", "left")
+    blocks = F.ceil(F.col("n") / MANY).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
+    salted = found.filter("n is not null").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    salted = salted.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+    return found.filter("n is null").select("key", "fp").union(salted)
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b) links that span the same components as all pairs of distinct fingerprints (fp) at `bits` or fewer bits."""
     if not 0 <= bits <= 3:
         raise ValueError("the ring of four segments proves chains for 3 bits at most")
     keyed = map_batches(fps.select("fp").distinct(), _keys, "key long, fp long")
+    often = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY))
+    if not often.isEmpty():
+        keyed = _split(keyed, often)
     return map_iter(keyed.repartition("key").sortWithinPartitions("key"), _links(bits), "a long, b long")
 
 
