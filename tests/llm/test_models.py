@@ -19,7 +19,7 @@ from .test_text_operators import classes, plain_fingerprint, plain_line_dedup
 
 
 def plain_nearest(rows, asked, k):
-    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 15 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) in (15, 64) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
     for q in asked & set(ok):
         scores = sorted((-float((v * ok[q]).sum() / np.sqrt((v * v).sum()) / np.sqrt((ok[q] ** 2).sum())), i) for i, v in ok.items() if i != q)
@@ -57,15 +57,29 @@ def test_anisotropic_codes_keep_large_products():
     rng = np.random.default_rng(1)
     x = ann._unit(rng.normal(size=(2000, 64)))
     q = ann.learn(x)
-    codes = q.encode(x)
-    back = q.centres[np.arange(len(q.centres)), codes].reshape(len(x), -1)
-    plain = np.stack([((q.split(x)[:, k, None] - q.centres[k]) ** 2).sum(-1).argmin(1) for k in range(len(q.centres))], 1)
-    near = q.centres[np.arange(len(q.centres)), plain].reshape(len(x), -1)
+    leaf, multiple, scale, codes = q.encode(x)
+    of = lambda codes: multiple[:, None] * q.coarse[leaf] + scale[:, None] * q.centres[np.arange(len(q.centres)), codes].reshape(len(x), -1)
+    u = q.split(q.parts(x)[3])
+    plain = np.stack([((u[:, k, None] - q.centres[k]) ** 2).sum(-1).argmin(1) for k in range(len(q.centres))], 1)
     along = lambda y: ((x - y) * x).sum(1) ** 2
-    assert along(back).mean() < along(near).mean()
-    table = q.tables(x[:5])
-    scan = sum(table[:, b].take(row, axis=1) for b, row in enumerate(ann.packed(codes).T))
-    assert np.allclose(scan, x[:5] @ back.T, atol=1e-5)
+    assert along(of(codes)).mean() < along(of(plain)).mean()
+    assert np.allclose(q.scores(x[:5], leaf, multiple, scale, ann.packed(codes).T), x[:5] @ of(codes).T, atol=1e-5)
+
+
+def test_crowds_of_nearly_equal_vectors():
+    rng = np.random.default_rng(2)
+    crowd = rng.normal(size=64) + 0.05 * rng.normal(size=(1500, 64))
+    v = np.concatenate([crowd, np.repeat(crowd[:1], 300, 0), rng.normal(size=(1500, 64))])
+    x, ids = ann._unit(v), np.arange(len(v))
+    q = ann.learn(x)
+    leaf, multiple, scale, codes = q.encode(x)
+    asked = np.arange(0, len(v), 50)
+    found = ann.scan(q, (ids, v, leaf, multiple, scale, ann.packed(codes)), asked, v[asked], 5, ann.AGAIN)
+    want = plain_nearest(list(enumerate(v)), set(asked.tolist()), 5)
+    got = collections.defaultdict(set)
+    for a, b, _ in zip(*found):
+        got[a].add(b)
+    assert sum(len(got[a] & {i for i, _ in want[a]}) for a in want) >= 0.95 * 5 * len(want)
 
 
 # 7

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by score-aware (anisotropic) quantisation.
 
-Unit vectors are quantised by products of 16 centres in subspaces of two dimensions. The loss weighs the residual
-parallel to the vector ETA times as much as the one across it, since only the former changes large inner products.
-A scan adds up table entries of 4-bit codes, two to a byte; each query's best candidates of each block are ranked
-again by the exact cosine in double precision.
+A unit vector is a multiple of a coarse unit centre plus a residual across it; the multiple and the residual's length are
+kept, its direction is quantised by products of 16 centres in subspaces of two dimensions. The loss weighs the error parallel to the vector more than the one across
+it, since only the former changes large inner products. A scan adds up table entries of 4-bit codes, two to a byte;
+each query's best candidates of each block are ranked again by the exact cosine in double precision. Within a crowd of
+nearly equal vectors the residuals still tell them apart, as they are scaled; of equal vectors no more are looked at
+than a result can hold.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import map_iter
 
-#: Vectors that centres are learned from at most, rows of a block, candidates ranked again of each block.
-SAMPLE, ROWS, AGAIN = 8_000, 4_096, 64
-SUB, CENTRES, ROUNDS, THRESHOLD = 2, 16, 4, 0.2
+#: Vectors that centres are learned from at most, coarse centres, rows of a block, candidates ranked again of each block.
+SAMPLE, COARSE, ROWS, AGAIN = 8_000, 256, 4_096, 64
+SUB, CENTRES, ROUNDS, THRESHOLD = 2, 16, 3, 0.2
 #: Queries whose table entries are added up at a time.
 STEP = 128
 
@@ -32,8 +34,9 @@ def eta(dim: int, threshold: float = THRESHOLD) -> float:
 
 @dataclass
 class Quantiser:
-    """centres: subspaces x 16 x SUB."""
+    """coarse: unit centres x dim; centres: subspaces x 16 x SUB."""
 
+    coarse: np.ndarray
     centres: np.ndarray
     dim: int
 
@@ -41,9 +44,22 @@ class Quantiser:
         pad = self.centres.shape[0] * SUB - x.shape[1]
         return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, SUB)
 
-    def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
-        """Codes (n x subspaces) of unit vectors, by coordinate descent on the anisotropic loss from nearest centres."""
-        return descend(self.split(x), self.centres, eta(self.dim), None, rounds)
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Coarse centre of each unit vector, its multiple, and length and direction of the residual."""
+        leaf = (x @ self.coarse.T).argmax(1)
+        c = self.coarse[leaf]
+        multiple = (x * c).sum(1)
+        rest = x - multiple[:, None] * c
+        scale = np.sqrt((rest * rest).sum(1))
+        return leaf, multiple, scale, rest / np.maximum(scale, 1e-12)[:, None]
+
+    def encode(self, x: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Coarse centres, multiples, scales and codes (n x subspaces) of unit vectors, the codes by coordinate descent on
+        the anisotropic loss from nearest centres. The multiple makes up for what the codes add along the centre."""
+        leaf, multiple, scale, u = self.parts(x)
+        codes = descend(self.split(u), self.split(x), self.centres, eta(self.dim), None, rounds)
+        coded = self.centres[np.arange(len(self.centres)), codes].reshape(len(x), -1)[:, : self.dim]
+        return leaf, multiple - scale * (coded * self.coarse[leaf]).sum(1), scale, codes
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of queries with centres, for pairs of subspaces: queries x bytes x 256."""
@@ -52,6 +68,20 @@ class Quantiser:
             one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
         return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
+    def scores(self, q: np.ndarray, leaf: np.ndarray, multiple: np.ndarray, scale: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate inner products of unit queries with rows (codes: bytes x rows)."""
+        tables = self.tables(q)
+        out = np.zeros((len(q), len(leaf)))
+        for byte, row in enumerate(codes):
+            out += tables[:, byte].take(row, axis=1)
+        out *= scale
+        out += (q @ self.coarse.T).take(leaf, axis=1) * multiple
+        return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
+
 
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two codes to a byte."""
@@ -60,16 +90,17 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)
 
 
-def descend(x: np.ndarray, centres: np.ndarray, weight: float, codes: np.ndarray | None, rounds: int) -> np.ndarray:
+def descend(x: np.ndarray, d: np.ndarray, centres: np.ndarray, weight: float, codes: np.ndarray | None, rounds: int) -> np.ndarray:
+    """Codes of x by turns over subspaces: least squared error, the part of it along d counting `weight` times."""
     n, m, _ = x.shape
     if codes is None:
         codes = np.stack([((x[:, k, None] - centres[k]) ** 2).sum(-1).argmin(1) for k in range(m)], 1)
-    along = np.stack([((x[:, k] - centres[k][codes[:, k]]) * x[:, k]).sum(-1) for k in range(m)], 1)
+    along = np.stack([((x[:, k] - centres[k][codes[:, k]]) * d[:, k]).sum(-1) for k in range(m)], 1)
     total = along.sum(1)
     for _ in range(rounds):
         for k in range(m):
             r = x[:, k, None] - centres[k]
-            own = (r * x[:, k, None]).sum(-1)
+            own = (r * d[:, k, None]).sum(-1)
             rest = total - along[:, k]
             loss = (r**2).sum(-1) + (weight - 1) * (rest[:, None] + own) ** 2
             codes[:, k] = loss.argmin(1)
@@ -78,37 +109,43 @@ def descend(x: np.ndarray, centres: np.ndarray, weight: float, codes: np.ndarray
     return codes
 
 
+def clustered(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means from rows drawn at random; a centre without rows stays where it is."""
+    c = x[rng.choice(len(x), n, replace=len(x) < n)].copy()
+    for _ in range(rounds):
+        at = nearest(x, c)
+        count = np.bincount(at, minlength=n)
+        sums = np.stack([np.bincount(at, x[:, s], n) for s in range(x.shape[1])], 1)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c
+
+
 def learn(x: np.ndarray, seed: int = 5) -> Quantiser:
-    """Centres from unit vectors: k-means in each subspace, then turns of anisotropic codes and least-squares centres."""
+    """Centres from unit vectors: k-means, coarse and in each subspace of the residuals' directions, then turns of
+    anisotropic codes and least-squares centres."""
     dim = x.shape[1]
     m = -(-dim // SUB)
-    q = Quantiser(np.zeros((m, CENTRES, SUB)), dim)
-    parts, rng, weight = q.split(x), np.random.default_rng(seed), eta(dim)
+    rng, weight = np.random.default_rng(seed), eta(dim)
+    coarse = clustered(x, max(1, min(COARSE, len(x) // 16)), 6, rng)
+    size = np.sqrt((coarse * coarse).sum(1, keepdims=True))
+    q = Quantiser(np.where(size > 1e-9, coarse / np.maximum(size, 1e-9), x[:1]), np.zeros((m, CENTRES, SUB)), dim)
+    parts, d = q.split(q.parts(x)[3]), q.split(x)
     for k in range(m):
-        c = parts[rng.choice(len(x), CENTRES, replace=len(x) < CENTRES), k]
-        for _ in range(8):
-            at = ((parts[:, k, None] - c) ** 2).sum(-1).argmin(1)
-            n = np.bincount(at, minlength=CENTRES)
-            sums = np.stack([np.bincount(at, parts[:, k, s], CENTRES) for s in range(SUB)], 1)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        q.centres[k] = c
+        q.centres[k] = clustered(parts[:, k], CENTRES, 8, rng)
     codes = None
     for _ in range(ROUNDS):
-        codes = descend(parts, q.centres, weight, codes, 1)
-        residual = parts - q.centres[np.arange(m), codes]
-        along = (residual * parts).sum(-1)
+        codes = descend(parts, d, q.centres, weight, codes, 1)
+        along = ((parts - q.centres[np.arange(m), codes]) * d).sum(-1)
         total = along.sum(1)
         for k in range(m):
-            v, rest = parts[:, k], total - along[:, k]
+            t, w, rest = parts[:, k], d[:, k], total - along[:, k]
             for j in range(CENTRES):
                 own = codes[:, k] == j
-                if not own.any():
-                    continue
-                w, extra = v[own], rest[own]
-                a = own.sum() * np.eye(SUB) + (weight - 1) * w.T @ w
-                b = w.sum(0) + (weight - 1) * ((extra + (w * w).sum(1))[:, None] * w).sum(0)
-                q.centres[k, j] = np.linalg.solve(a, b)
-            along[:, k] = ((v - q.centres[k][codes[:, k]]) * v).sum(-1)
+                if own.any():
+                    a = own.sum() * np.eye(SUB) + (weight - 1) * w[own].T @ w[own]
+                    b = t[own].sum(0) + (weight - 1) * ((rest[own] + (t[own] * w[own]).sum(1))[:, None] * w[own]).sum(0)
+                    q.centres[k, j] = np.linalg.solve(a, b)
+            along[:, k] = ((t - q.centres[k][codes[:, k]]) * w).sum(-1)
             total = rest + along[:, k]
     return q
 
@@ -131,16 +168,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """(vec_id, v, codes binary) of every vector."""
+    """(vec_id, v, leaf, multiple, scale, codes binary) of every vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = packed(shared.value.encode(_unit(_matrix(b.column(1)))))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
+                leaf, multiple, scale, codes = shared.value.encode(_unit(_matrix(b.column(1))))
+                columns = [pa.array(leaf, pa.int32()), pa.array(multiple, pa.float64()), pa.array(scale, pa.float64()), pa.array([c.tobytes() for c in packed(codes)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns], ["vec_id", "v", "leaf", "multiple", "scale", "codes"])
 
-    return map_iter(vectors, run, "vec_id long, v array<double>, codes binary")
+    return map_iter(vectors, run, "vec_id long, v array<double>, leaf int, multiple double, scale double, codes binary")
 
 
 def best(approx: np.ndarray, most: int) -> np.ndarray:
@@ -152,17 +190,26 @@ def best(approx: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([over, np.flatnonzero(approx == least)[: most - len(over)]])
 
 
-def scan(quantiser: Quantiser, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, again: int):
-    """(query_id, vec_id, score) of the k best of one block for each query, by codes and then by exact cosine."""
-    order = np.argsort(ids, kind="stable")
-    ids, v, codes = ids[order], v[order], np.ascontiguousarray(codes[order].T)
+def firsts(v: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows that are among the first `most` equal ones."""
+    _, of = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])
+    nth = np.arange(len(of)) - np.repeat(begins, np.diff(np.r_[begins, len(of)]))
+    return np.sort(order[nth < most])
+
+
+def scan(quantiser: Quantiser, block: tuple[np.ndarray, ...], query_ids: np.ndarray, q: np.ndarray, k: int, again: int):
+    """(query_id, vec_id, score) of the k best of one block (ids, vectors, coarse centres, multiples, scales, codes) for each query,
+    by codes and then by exact cosine."""
+    order = np.argsort(block[0], kind="stable")
+    order = order[firsts(block[1][order], k + 1)]  # one more, as the query itself may be among them
+    ids, v, leaf, multiple, scale, codes = (x[order] for x in block)
+    codes = np.ascontiguousarray(codes.T)
     norms, query_norms = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(q), STEP):
-        tables = quantiser.tables(_unit(q[s : s + STEP]))
-        approx = np.zeros((len(tables), len(ids)), np.float32)
-        for byte, row in enumerate(codes):
-            approx += tables[:, byte].take(row, axis=1)
+        approx = quantiser.scores(_unit(q[s : s + STEP]), leaf, multiple, scale, codes)
         for i, a in enumerate(approx, s):
             a[ids == query_ids[i]] = -np.inf
             near = best(a, again)
@@ -210,7 +257,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAI
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
             codes = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-            found = scan(shared.value, a.column("vec_id").to_numpy(), _matrix(a.column("v")), codes, b.column("vec_id").to_numpy(), _matrix(b.column("v")), k, again)
+            block = (a.column("vec_id").to_numpy(), _matrix(a.column("v")), *(a.column(c).to_numpy() for c in ("leaf", "multiple", "scale")), codes)
+            found = scan(shared.value, block, b.column("vec_id").to_numpy(), _matrix(b.column("v")), k, again)
         else:
             found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
