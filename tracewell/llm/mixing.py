@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh
+from .common import WORD, fresh, stored
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
+#: Sources whose rates are broadcast (a row of some 50 bytes each).
+MANY = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -52,8 +54,11 @@ def _copies(rate: Column, key: Column, seed: int) -> Column:
 
 
 def _rated(docs: DataFrame, to: DataFrame, source: str) -> DataFrame:
-    """docs joined with one row per source."""
-    return docs.join(to, docs["source"].eqNullSafe(to[source]))
+    """docs joined with one row per source. Up to MANY sources are counted and broadcast, so that neither texts nor a hot
+    source are shuffled; more of them are joined by a shuffle whose skewed partitions Spark splits."""
+    to = stored(to)
+    same = docs["source"].eqNullSafe(to[source])
+    return docs.join(F.broadcast(to) if to.count() <= MANY else to, same)
 
 
 def rates(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
