@@ -225,7 +225,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAI
 
     vectors and queries: (vec_id, embedding). Null, zero and non-finite vectors, null vec_ids, and vectors of another
     length than the most frequent take no part. Fewer than k candidates are all returned; no vectors give no rows.
-    Ties go to the smaller vec_id. Centres come from a sample of at most SAMPLE vectors, chosen by a hash of vec_id;
+    Ties go to the smaller vec_id; of queries with one vec_id the least vector is asked; repeated rows are candidates of
+    their own. Centres come from a sample of at most SAMPLE vectors, chosen by a hash of vec_id;
     every row is indexed and scanned. Vectors and queries are dealt to blocks of about `rows` by a hash, and each
     block of queries meets each block of vectors in a task of its own: memory is bounded whatever the input.
     """
@@ -237,7 +238,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAI
         return empty
     dim, n = sizes[0]
     base = base.filter(F.size("v") == dim)
-    asked = usable(queries).filter(F.size("v") == dim).dropDuplicates(["vec_id"])
+    asked = usable(queries).filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     m = asked.count()
     if not m:
         return empty

@@ -66,6 +66,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizer
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op7_lm_score, op8_quality, op9_spotsigs, op10_byte_bpe)}
 SQL: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+        w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM l),
+        u AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+        p AS (SELECT a.doc_id, a.i, b.i AS j FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50),
+        s AS (SELECT doc_id, i, min(j) AS j FROM p GROUP BY doc_id, i UNION SELECT doc_id, max(i), j FROM p GROUP BY doc_id, j),
+        c AS (SELECT s.doc_id, s.i, s.j, array_to_string(list_slice(d.lines, s.i, s.j), chr(10)) AS content FROM s JOIN d ON s.doc_id = d.doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS n FROM c),
+        gone AS (SELECT DISTINCT r.doc_id, u.i FROM r JOIN u ON u.doc_id = r.doc_id AND u.i BETWEEN r.i AND r.j WHERE r.n > 1),
+        k AS (SELECT u.doc_id, string_agg(CASE WHEN g.i IS NULL THEN u.line END, chr(10) ORDER BY u.i) AS text, count(g.i) AS lines_removed
+            FROM u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY u.doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.lines_removed, 0) AS lines_removed
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op4_mixing": """
         WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
