@@ -13,7 +13,7 @@ from ..functions import scalar
 from ..functions.schema import ENTRY, FIELDS
 
 #: Workflow languages by file suffix. Unlike a bare string ending the dot counts: "a.xml" is one, "axml" is none.
-LANGUAGES = {"cf": "cuneiform", "xml": "dax", "dax": "dax", "ga": "galaxy", "log": "log"}
+LANGUAGES = {"cf": "functional", "xml": "dax", "dax": "dax", "ga": "galaxy", "log": "log"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
