@@ -166,8 +166,10 @@ def test_links_lose_no_component(spark, monkeypatch, many):
     assert classes(links, signed) == classes(near, signed)
 
 
+@pytest.mark.parametrize("chunk", [200_000, 60])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(7)
     n = 400
     edges = {"path": [(i, i + 1) for i in range(n)], "star": [(0, i) for i in range(1, n)], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(300)], "none": []}[shape]

@@ -54,23 +54,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) to (node, comp), comp being one node of each component.
 
-    Each round maps every node to the neighbour (or itself) of least hash, with another hash each round, and
-    contracts; the number of edges falls by a constant factor, so rounds grow with the logarithm. Hubs are joined
-    on and pre-aggregated, never gathered. Loops and repeated edges do no harm; null ends are ignored; no edges
-    give no rows.
+    In each round tasks contract chunks of CHUNK edges to stars. Once a single chunk is left, its stars are the
+    components. Before, every node goes to the neighbour (or itself) of least hash, with another hash each round, and
+    the ends of edges are replaced; the number of edges falls by a constant factor, so rounds grow with the logarithm.
+    Hubs are joined on and pre-aggregated, never gathered. Loops and repeated edges do no harm; null ends are ignored;
+    no edges give no rows.
     """
-    left = stored(map_iter(edges.select("a", "b").dropna().filter("a <> b"), _contract, "a long, b long"))
+    left = stored(edges.select("a", "b").dropna().filter("a <> b"))
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while n := left.count():
+        chunks = -(-n // CHUNK)
+        stars = stored(map_iter(left.coalesce(chunks), _contract, "a long, b long"))
+        dropped(left)
+        if chunks == 1:
+            maps.append(stars.union(stars.select("b", "b").distinct()).toDF("a", "m"))
+            break
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), c.alias("x"))  # noqa: E731, B023
-        both = left.select("a", "b").union(left.select("b", "a"))
-        to = stored(
-            both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least("m", rank(F.col("a")))["x"].alias("m"))
-        )
+        both = stars.union(stars.select("b", "a"))
+        to = stored(both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least("m", rank(F.col("a")))["x"].alias("m")))
         maps.append(to)
-        ends = left.join(to.toDF("a", "ma"), "a").join(to.toDF("b", "mb"), "b").filter("ma <> mb")
-        was, left = left, stored(ends.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
-        dropped(was)
+        ends = stars.join(to.toDF("a", "ma"), "a").join(to.toDF("b", "mb"), "b").filter("ma <> mb")
+        left = stored(ends.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+        dropped(stars)
     if not maps:
         return left.toDF("node", "comp")
     out = maps.pop().toDF("node", "comp")
