@@ -162,8 +162,8 @@ class Model:
 
 
 def learn(samples: dict[str, list[str]]) -> Model:
-    """Model of sample texts per language."""
-    langs = sorted(samples)
+    """Model of sample texts per language; ties go to the language that comes first."""
+    langs = list(samples)
     each = min(LETTERS, ALL_LETTERS // max(1, len(langs)))
     seqs = [np.concatenate([np.append(_gapped(points_of(t.encode())), 0) for t in samples[k]])[:each] for k in langs]
     symbol = np.full(0x110000, 1, np.uint8)  # 0: gap, 1: other letters
@@ -177,20 +177,23 @@ def learn(samples: dict[str, list[str]]) -> Model:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts to learn from: of each of the MOST_LANGS most frequent languages about DOCS documents, chosen by a hash of
-    doc_id, and of each the first PER_DOC * 2 characters. Documents held out (crc32 of doc_id modulo 5 is 0) have no part."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), 5) != 0))
-    by_lang = {r["lang"]: r["count"] for r in docs.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    """Texts to learn from, the most frequent language first: of each of MOST_LANGS languages at most DOCS documents,
+    chosen by a hash of doc_id, and of each the first PER_DOC * 2 characters.
+
+    Documents held out (crc32 of doc_id modulo 5 is 0) have no part in any of this, nor have those without a letter.
+    """
+    own = docs.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
+    by_lang = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     rank = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 40))
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[str]] = {k: [] for k in by_lang}
     if by_lang:
-        # 2.5 times the documents wanted, as some are held out or without letters; a language of few gives all
-        cut = F.element_at(F.create_map(*[F.lit(x) for k, n in by_lang.items() for x in (k, int((1 << 40) * min(1.0, 2.5 * DOCS / n)))]), F.col("lang"))
-        rows = own.withColumn("_r", rank).filter(F.col("_r") < cut).select("lang", "_r", F.substring("text", 1, 2 * PER_DOC).alias("text"))
-        for r in sorted(rows.limit(8 * DOCS * len(by_lang)).collect(), key=lambda r: (r["lang"], r["_r"], r["text"])):
-            if len(of := out.setdefault(r["lang"], [])) < DOCS:
+        # twice the documents wanted, as some are without letters; a language of few gives all
+        cut = F.element_at(F.create_map(*[F.lit(x) for k, n in by_lang.items() for x in (k, int((1 << 40) * min(1.0, 2 * DOCS / n)))]), F.col("lang"))
+        rows = own.withColumn("_r", rank).filter((F.col("_r") < cut) & F.col("text").rlike(r"\p{L}")).select("lang", "_r", F.substring("text", 1, 2 * PER_DOC).alias("text"))
+        for r in sorted(rows.orderBy("_r", "lang", "text").limit(8 * DOCS * len(by_lang)).collect(), key=lambda r: (r["lang"], r["_r"], r["text"])):
+            if len(of := out[r["lang"]]) < DOCS:
                 of.append(r["text"])
-    return out
+    return {k: v for k, v in out.items() if v}
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
