@@ -1,0 +1 @@
+"""Column expressions and the vocabulary of event logs."""

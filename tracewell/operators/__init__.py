@@ -1,0 +1 @@
+"""Operators over DataFrames with well-defined input columns."""

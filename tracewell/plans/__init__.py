@@ -1,0 +1 @@
+"""Ingest, provenance interface, statistics, plug-ins and the query catalogue."""

@@ -1,0 +1 @@
+"""Readers and writers of logs, workflow descriptions and stores."""

@@ -1,0 +1 @@
+"""Live logs and estimates."""
