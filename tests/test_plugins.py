@@ -79,3 +79,10 @@ def test_arriving_nodes(spark, tmp_path):
     stream = plugins.new_nodes(spark.readStream.schema("run string, id long").parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("nodes").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("nodes").count() == 2
+
+
+def test_relational_store(spark):
+    url, driver = "jdbc:derby:memory:prov;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    stores.write_jdbc(spark.createDataFrame([(i, f"h{i}") for i in range(10)], "ID long, HOST string"), url, "INVOCATION", driver=driver)
+    got = stores.read_jdbc(spark, url, "INVOCATION", "ID", 0, 10, 3, driver=driver)
+    assert got.rdd.getNumPartitions() == 3 and got.filter("ID > 6").count() == 3 and got.count() == 10

@@ -468,7 +468,7 @@ def era_replay(spark, sf_dir):
 # scalars and shapes
 
 
-@query()
+@query("WITH h AS (SELECT p_partkey, p_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) + 1 AS h FROM part) SELECT p_partkey, p_name, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS BIGINT) AS task_id FROM h")
 def java_task_id(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", "p_name", scalar.java_task_id(F.col("p_name")).alias("task_id"))
 
