@@ -371,3 +371,8 @@ def test_similar_documents(spark, threshold):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in reps for b in reps if a < b}
     got = {(r.a, r.b): r.likeness for r in links.collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items() if v >= threshold}
+
+
+def test_dedup_of_nothing(empty):
+    assert line_dedup.line_dedup(empty, removed_as="n").collect() == []
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.near_dedup(empty).collect() == []
