@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import dropped, stored
@@ -18,11 +18,13 @@ def longest(nodes: DataFrame, edges: DataFrame, by: list[str], most: int = 10_00
     rose = own
     for _ in range(most):
         sent = rose.withColumnRenamed("id", "a").join(edges.select(*by, "a", "b"), [*by, "a"]).groupBy(*by, F.col("b").alias("id")).agg(F.max("value").alias("_got"))
-        new = stored(own.join(sent, [*by, "id"], "left").select(*by, "id", F.greatest("value", F.col("cost") + F.col("_got")).alias("value"), "cost", (F.col("cost") + F.col("_got") > F.col("value")).alias("_rose")))
+        seen = Observation()
+        new = own.join(sent, [*by, "id"], "left").select(*by, "id", F.greatest("value", F.col("cost") + F.col("_got")).alias("value"), "cost", F.coalesce(F.col("cost") + F.col("_got") > F.col("value"), F.lit(False)).alias("_rose"))
+        new = stored(new.observe(seen, F.count_if("_rose").alias("rose")))
         dropped(own)
+        if not seen.get["rose"]:
+            return new.select(*by, "id", "value")
         own, rose = new, new.filter("_rose").select(*by, "id", "value", "cost")
-        if rose.isEmpty():
-            return own.select(*by, "id", "value")
     raise ValueError("the graph has a cycle")
 
 

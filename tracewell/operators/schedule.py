@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from bisect import insort
+from collections import deque
 from collections.abc import Callable
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -105,17 +107,32 @@ def era_replay(ready: list[tuple], asks: list, estimate: Callable, replicas: int
     """
     queues: dict = {}
     for kind, task in ready:
-        queues.setdefault(kind, []).append(task)
+        queues.setdefault(kind, deque()).append(task)
+    hosts = sorted(set(asks))
+    known: dict = {}
+
+    def sufferage(kind, host, own: float, copy: bool) -> float:
+        if (kind, copy) not in known:  # estimates don't change during a replay
+            each = {h: e for h in hosts if (e := estimate(kind, h, copy)) != 0}
+            known[kind, copy] = each, sum(each.values()), nsmallest(2, each.values())
+        each, total, least = known[kind, copy]
+        mine = each.get(host)
+        others = len(each) - (mine is not None)
+        if not others:
+            return (own - MAX) / own
+        other = least[1] if mine == least[0] else least[0]
+        return (own - other) / ((own + total - (mine or 0.0)) / (others + 1))
+
     running: dict = {}
     copied: set = set()
     out = []
-    hosts = sorted(set(asks))
     for n, host in enumerate(asks):
-        copy = not any(queues.values())
-        choice = {k: [t for t in v if t not in copied] for k, v in running.items()} if copy else queues
-        if copy and len(copied) >= replicas:
-            continue
-        best, least = None, MAX
+        choice = {k: v for k, v in queues.items() if v}
+        if copy := not choice:
+            if len(copied) >= replicas:
+                break  # nothing is ready, and nothing may be copied any more
+            choice = {k: [t for t in v if t not in copied] for k, v in running.items()}
+        best, lowest = None, MAX
         for kind in sorted(k for k, v in choice.items() if v):
             own = estimate(kind, host, copy)
             if own == 0:
@@ -123,18 +140,16 @@ def era_replay(ready: list[tuple], asks: list, estimate: Callable, replicas: int
                     best = kind
                     break
                 own = MAX
-            others = [e for h in hosts if h != host and (e := estimate(kind, h, copy)) != 0]
-            mean = sum([own / (len(others) + 1), *(e / (len(others) + 1) for e in others)])
-            s = (own - min(others, default=MAX)) / mean
-            if s < least:
-                best, least = kind, s
+            s = sufferage(kind, host, own, copy)
+            if s < lowest:
+                best, lowest = kind, s
         if best is None:
             continue
-        task = choice[best][0]
         if copy:
+            task = choice[best][0]
             copied.add(task)
         else:
-            queues[best].remove(task)
+            task = queues[best].popleft()
             running.setdefault(best, []).append(task)
         out.append((n, host, best, task, copy))
     return out
