@@ -182,3 +182,40 @@ def test_scalars(spark):
     assert one(spark, scalar.split_list(x), x="a, b") == ["a", "b"]
     assert scalar.normal_quantile(0.2) == pytest.approx(statistics.NormalDist().inv_cdf(0.2))
     assert one(spark, scalar.progress(x, F.lit(0)), x=1.0) == 0.0
+
+
+def test_era_replay_equals_the_definition():
+    rng = random.Random(8)
+    for _ in range(40):
+        kinds, hosts = ["k1", "k2", "k3"], ["a", "b", "c", "d"]
+        cost = {(k, h): rng.choice([0.0, 0.0, 1.0, 2.0, 5.0]) for k in kinds for h in hosts}
+        ready = [(rng.choice(kinds), i) for i in range(8)]
+        asks = [rng.choice(hosts) for _ in range(11)]
+        seen = sorted(set(asks))
+        queues = {k: [t for q, t in ready if q == k] for k in kinds}
+        running, copied, want = {}, set(), []
+        for n, host in enumerate(asks):
+            copy = not any(queues.values())
+            if copy and len(copied) >= 2:
+                continue
+            pool = {k: [t for t in v if t not in copied] for k, v in running.items()} if copy else queues
+            scores = []
+            for k in sorted(k for k in pool if pool[k]):
+                own = cost[k, host]
+                others = [cost[k, h] for h in seen if h != host and cost[k, h]]
+                if own == 0 and not copy:
+                    scores.append((-float("inf"), k))
+                    break
+                own = own or scalar.MAX
+                scores.append(((own - min(others, default=scalar.MAX)) / ((own + sum(others)) / (1 + len(others))), k))
+            if not scores:
+                continue
+            k = min(scores)[1]
+            t = pool[k][0]
+            if copy:
+                copied.add(t)
+            else:
+                queues[k].remove(t)
+                running.setdefault(k, []).append(t)
+            want.append((n, host, k, t, copy))
+        assert schedule.era_replay(ready, asks, lambda k, h, _: cost[k, h], 2) == want
