@@ -234,3 +234,11 @@ def test_registered(spark, sf):
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def test_nothing_to_learn_from(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    docs = spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")
+    got = lm.score(docs).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(4, 0, 0)] * 4
+    assert all(r.base_score == pytest.approx(0) and r.score < 0 for r in got)
