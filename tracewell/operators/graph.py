@@ -15,14 +15,16 @@ def longest(nodes: DataFrame, edges: DataFrame, by: list[str], most: int = 10_00
     longest path, not of the number of paths. More than `most` rounds mean a cycle.
     """
     own = stored(nodes.select(*by, "id", F.col("cost").alias("value"), "cost"))
+    links = stored(edges.select(*by, "a", "b"))  # read in every round
     rose = own
     for _ in range(most):
-        sent = rose.withColumnRenamed("id", "a").join(edges.select(*by, "a", "b"), [*by, "a"]).groupBy(*by, F.col("b").alias("id")).agg(F.max("value").alias("_got"))
+        sent = rose.withColumnRenamed("id", "a").join(links, [*by, "a"]).groupBy(*by, F.col("b").alias("id")).agg(F.max("value").alias("_got"))
         seen = Observation()
         new = own.join(sent, [*by, "id"], "left").select(*by, "id", F.greatest("value", F.col("cost") + F.col("_got")).alias("value"), "cost", F.coalesce(F.col("cost") + F.col("_got") > F.col("value"), F.lit(False)).alias("_rose"))
         new = stored(new.observe(seen, F.count_if("_rose").alias("rose")))
         dropped(own)
         if not seen.get["rose"]:
+            dropped(links)
             return new.select(*by, "id", "value")
         own, rose = new, new.filter("_rose").select(*by, "id", "value", "cost")
     raise ValueError("the graph has a cycle")
