@@ -6,10 +6,16 @@ to each line. The window's minimal line hash is its fingerprint, so that every r
 Fingerprints that occur once drop out; the windows of the others meet on their whole content, which extends a match
 from its minimum both ways to the window's ends, and windows that overlap or touch extend each other to the whole
 run. Deleting what the windows cover deletes exactly the lines that lie in a repeated run.
+
+Passages that begin or end inside a line are found on words (passages()): runs of GRAM words are hashed, and the least
+hash of any PASSAGE_WORDS words in a row is selected, so that two equal runs of PASSAGE_WORDS words have a selected
+hash in common. Runs of PASSAGE_WORDS words whose least hash was selected at more than one place meet on digests;
+overlapping ones extend each other both ways to the whole passage, of which the later occurrence is deleted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, map_batches, slices, stored
+from .common import WORD, as_bytes, fresh, map_batches, slices, stored
 
-#: A passage of over 50 words is always found.
+#: A run of whole lines with so many words is always found; a passage within lines only by passages().
 LEAST_WORDS = 50
+#: A repeated passage of so many words is always found by passages(), wherever it begins; words that are hashed as one.
+PASSAGE_WORDS, GRAM = 50, 25
+#: Odd bases of the polynomials over words.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def windows(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, int, bytes]]:
@@ -83,24 +93,155 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(x for x, g in zip(lines, gone) if not g), int(gone.sum())
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, removed_as: str = "lines_removed") -> DataFrame:
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2^64."""
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.multiply.accumulate(x)
+
+
+def grams(words: list[bytes], k: int, base: int) -> np.ndarray:
+    """A hash of each k words in a row: a polynomial over the words' XXH64, shifted to begin at power 0."""
+    n = len(words)
+    if n < k:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, n), dtype=np.uint64)])
+    x = (up[k:] - up[:-k]) * _powers(pow(base, -1, 1 << 64), n - k + 1)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _slide(x: np.ndarray, k: int, f: np.ufunc) -> np.ndarray:
+    """f over each k values in a row, by doubling."""
+    n, done = len(x) - k + 1, 1
+    while done < k:
+        step = min(done, k - done)
+        x = f(x[:-step], x[step:])
+        done += step
+    return x[:n]
+
+
+def selected(words: list[bytes], passage: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of runs of GRAM words (half a passage, if that is less) that are least among those of any
+    `passage` words in a row."""
+    k = min(GRAM, (passage + 1) // 2)
+    if len(words) < passage:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h, w = grams(words, k, BASES[0]), passage - k + 1
+    least = _slide(h, w, np.minimum)
+    # no minimum of a window that holds the place is more than its own hash; the greatest tells whether one equals it
+    zeros = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([zeros, least, zeros]), w, np.maximum) == h)
+    return at, h[at]
+
+
+def _selected_of(docs: DataFrame, passage: int) -> DataFrame:
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+        for s, e in slices(text, 2_000_000):
+            found = [selected((x.as_py() or b"").split(), passage) for x in text.slice(s, e - s)]
+            at, fp = (np.concatenate(x) for x in zip(*found))
+            doc = np.repeat(ids[s:e], [len(x) for x, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], ["fp", "doc_id", "at"])
+
+    return map_batches(docs, run, "fp long, doc_id long, at int")
+
+
+def covered(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each word of the text lies in one of the spans of lines."""
+    lines = text.encode().split(b"\n")
+    gone = np.zeros(len(lines), bool)
+    for i, j in spans:
+        gone[i : j + 1] = True
+    return np.repeat(gone, [len(x.split()) for x in lines])
+
+
+def passages(docs: DataFrame, lines: DataFrame, passage: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, runs array<int>): first words, from 0, of the runs of `passage` words that occurred before.
+
+    lines (doc_id, spans) are repeats() of docs; runs that lie in them go anyhow, and are left out here.
+    """
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(_selected_of(own, passage))
+    often = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    near = found.join(often, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    k = min(GRAM, (passage + 1) // 2)
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for doc, text, fps, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
+            words = text.encode().split()
+            # a run that occurs twice has its least hash at two selected places
+            take = np.isin(_slide(grams(words, k, BASES[0]), passage - k + 1, np.minimum).view(np.int64), fps)
+            if spans:
+                kept = np.concatenate([[0], np.cumsum(~covered(text, [(s["i"], s["j"]) for s in spans]))])
+                take &= kept[passage:] > kept[:-passage]
+            i = np.flatnonzero(take)
+            w1, w2 = (grams(words, passage, base)[i].view(np.int64) for base in BASES)
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(len(i), doc, np.int64)), pa.array(i.astype(np.int32))], ["w1", "w2", "doc_id", "i"])
+
+    around = own.join(near, "doc_id").join(lines, "doc_id", "left").select("doc_id", "text", "fps", "spans")
+    met = stored(map_batches(around, run, "w1 long, w2 long, doc_id long, i int"))
+    firsts = met.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
+    later = met.join(firsts, ["w1", "w2"]).filter(F.struct("doc_id", "i") > F.col("first"))
+    return later.groupBy("doc_id").agg(F.collect_set("i").alias("runs"))
+
+
+def without_passages(text: str, spans: list[tuple[int, int]], runs: list[int], passage: int = PASSAGE_WORDS) -> tuple[str, int]:
+    """The text without the lines of the spans and without the runs of words, and how many lines went as a whole.
+
+    A word goes with the white space that follows it in its line; a line that loses all its words goes.
+    """
+    lines = text.encode().split(b"\n")
+    whole = np.zeros(len(lines), bool)
+    for i, j in spans:
+        whole[i : j + 1] = True
+    sizes = [len(x.split()) for x in lines]
+    edges = np.zeros(sum(sizes) + passage + 1, np.int32)
+    x = np.array(runs, np.int64)
+    np.add.at(edges, x, 1)
+    np.add.at(edges, x + passage, -1)
+    gone = np.cumsum(edges) > 0
+    out, at = [], 0
+    for line, n, all_gone in zip(lines, sizes, whole.tolist()):
+        cut = gone[at : at + n]
+        at += n
+        if all_gone or (n and cut.all()):
+            continue
+        if cut.any():
+            begins = [m.start() for m in re.finditer(WORD.encode(), line)]
+            line = line[: begins[0]] + b"".join(line[a:b] for a, b, c in zip(begins, [*begins[1:], len(line)], cut.tolist()) if not c)
+        out.append(line)
+    return b"\n".join(out).decode(), len(lines) - len(out)
+
+
+def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, removed_as: str = "lines_removed", passage: int | None = None) -> DataFrame:
     """docs with the text's repeated runs deleted, and one more column, the number of lines removed.
 
     A text whose lines are all repeated becomes empty; null and empty texts stay, with 0 lines removed; rows without
     a doc_id are neither changed nor looked at. Lines with less than `least` words in all stay, however frequent. Of
     equal rows (same doc_id) the runs count as one place, and all are cut alike. All columns are kept; the new one must
-    not be among them.
+    not be among them. With `passage`, repeated runs of so many words or more are deleted as well, wherever in a line
+    they begin or end; lines that lose all words count as removed.
     """
     doc, cuts = fresh(docs, "_doc"), fresh(docs, "_spans")
-    spans = repeats(docs, least).toDF(doc, cuts)
+    spans = repeats(docs, least)
+    if passage:
+        spans = stored(spans)
+        spans = spans.join(passages(docs, spans, passage), "doc_id", "full").select("doc_id", F.struct("spans", "runs"))
+    spans = spans.toDF(doc, cuts)
     at = docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, found = b.column(at), b.column(b.num_columns - 1)
         out, removed = [], []
         for k in range(b.num_rows):
-            c = found[k].as_py()
-            text, n = without(texts[k].as_py(), [(x["i"], x["j"]) for x in c]) if c else (texts[k].as_py(), 0)
+            c, text, n = found[k].as_py(), texts[k].as_py(), 0
+            if c and passage:
+                text, n = without_passages(text, [(x["i"], x["j"]) for x in c["spans"] or []], c["runs"] or [], passage)
+            elif c:
+                text, n = without(text, [(x["i"], x["j"]) for x in c])
             out.append(text)
             removed.append(n)
         columns = b.columns[:-1]

@@ -23,6 +23,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "lines_removed")
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_line_dedup, whose SQL knows whole lines only, with repeated passages inside lines deleted as well."""
+    docs = _documents(spark, sf_dir)
+    return line_dedup.line_dedup(docs, passage=line_dedup.PASSAGE_WORDS).select("doc_id", "text", "lines_removed")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     return token_counts.document_counts(_documents(spark, sf_dir), path, end_id=50_256)
 
@@ -64,7 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizer
     return bpe.digests(_documents(spark, sf_dir), path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op7_lm_score, op8_quality, op9_spotsigs, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op1_passage_dedup, op2_token_counts, op3_nearest, op4_mixing, op5_simhash, op6_language_id, op7_lm_score, op8_quality, op9_spotsigs, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op1_line_dedup": """
         WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
