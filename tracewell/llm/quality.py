@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_mod, map_batches, slices
 
-#: Bounds of the fit: labelled documents, documents of the pool, characters read of one of them (fitting only), rounds,
-#: and the share of the pool that a view hands over in a round.
-LABELLED, POOL, CHARS, ROUNDS, SHARE = 3_000, 2_000, 8_000, 4, 0.08
+#: Bounds of the fit: labelled documents, documents of the pool, rounds, and the share of the pool that a view hands
+#: over in a round.
+LABELLED, POOL, ROUNDS, SHARE = 3_000, 2_000, 4, 0.08
 #: Hashed features of the content view.
 WIDTH = 1 << 13
 
@@ -157,8 +157,27 @@ def co_train(labelled: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows]
     return model
 
 
+def _features(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, at, x, metas): both views of each whole text, made where the text is; WIDTH + METAS numbers at most."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = as_bytes(b.column(2))
+        for i, j in slices(text):
+            part = b.slice(i, j - i)
+            texts = [t or b"" for t in text.slice(i, j - i).to_pylist()]
+            at, x = zip(*map(content, texts))
+            metas = [metadata(*r) for r in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(metas, pa.list_(pa.float64()))],
+                ["doc_id", "y", "at", "x", "metas"],
+            )
+
+    return map_batches(rows.select(F.col("doc_id").cast("long"), "y", "text", "lang", "source"), run, "doc_id long, y double, at array<int>, x array<double>, metas array<double>")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from a bounded sample by a hash of doc_id: LABELLED documents with a label (0 or 1) and POOL without.
+    """Model from a bounded sample by a hash of doc_id: LABELLED documents with a label (0 or 1) and POOL without, each
+    with its whole text.
 
     Documents whose crc32(doc_id as text) modulo 5 is 0 are held out. Conflicting labels of one document count as 0.
     """
@@ -170,14 +189,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     pool = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & fits & (place < int((1 << 40) * min(1.0, 2 * POOL / max(1, total)))))
     pool = pool.distinct().join(known, "doc_id", "left_anti").orderBy(place, "doc_id").limit(POOL).withColumn("y", F.lit(None).cast("double"))
     ids = chosen.union(pool.select("doc_id", "y"))  # LABELLED + POOL rows at most
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", F.substring("text", 1, CHARS).alias("text"), "lang", "source").dropDuplicates(["doc_id"]).orderBy(place, "doc_id")
-    table = rows.toArrow()
+    own = docs.select("doc_id", *(F.col(c).cast("string") for c in ("text", "lang", "source")))
+    table = _features(own.join(F.broadcast(ids), "doc_id")).dropDuplicates(["doc_id"]).orderBy(place, "doc_id").toArrow()
     y = table.column("y").to_numpy().astype(float)
-    seen = [((t or "").encode(), lang, source) for t, lang, source in zip(*(table.column(c).to_pylist() for c in ("text", "lang", "source")))]
+    at, x, metas = (table.column(c).combine_chunks() for c in ("at", "x", "metas"))
     every = np.arange(METAS)
 
     def views(which: np.ndarray) -> tuple[Rows, Rows]:
-        return Rows([content(seen[i][0]) for i in which], WIDTH), Rows([(every, metadata(*seen[i])) for i in which], METAS)
+        return Rows([(at[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy()) for i in which.tolist()], WIDTH), Rows([(every, metas[i].values.to_numpy()) for i in which.tolist()], METAS)
 
     has = ~np.isnan(y)
     return co_train(views(np.flatnonzero(has)), y[has], views(np.flatnonzero(~has)))
