@@ -19,9 +19,13 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, crc_mod, map_batches, slices
 
-#: Bounds of the sample that is learned from: languages (the most frequent), documents and letters of each, letters
-#: of one document, letters of all languages together; symbols besides the gap and other letters.
-MOST_LANGS, DOCS, LETTERS, PER_DOC, ALL_LETTERS, SYMBOLS = 64, 200, 30_000, 600, 600_000, 62
+#: Bounds of the sample that is learned from: documents and symbols of each language, half the characters of one
+#: document, symbols of all languages together.
+DOCS, LETTERS, PER_DOC, ALL_LETTERS = 200, 30_000, 600, 600_000
+#: Symbols: gap, letters that no sample has, DIRECT letters as they are; all others are spelled, LEADS[0] * DIGITS^2 of
+#: them with a lead and two digits, the rest (LEADS[1] * DIGITS^4, more than there are letters) with a lead and four.
+DIRECT, LEADS, DIGITS = 40, (4, 4), 14
+WIDTH = 2 + DIRECT + sum(LEADS) + DIGITS
 PIECE = 1024
 UNKNOWN = "und"
 
@@ -113,12 +117,48 @@ class Automaton:
         return count + 1
 
 
+@dataclass
+class Alphabet:
+    """Letters of all samples, the most frequent first; each keeps its identity."""
+
+    common: np.ndarray
+
+    def __post_init__(self):
+        self.symbol = np.full(0x110000, 1, np.uint8)
+        self.symbol[0] = 0
+        self.symbol[self.common[:DIRECT]] = np.arange(2, 2 + len(self.common[:DIRECT]))
+        rest = self.common[DIRECT:]
+        self.symbol[rest] = 255
+        self.rank = np.argsort(rest, kind="stable")
+        self.points = rest[self.rank]
+
+    def encode(self, gapped: np.ndarray) -> np.ndarray:
+        """Symbols of lower-case letters and gaps."""
+        s = self.symbol[gapped]
+        spelled = np.flatnonzero(s == 255)
+        if not len(spelled):
+            return s
+        r = self.rank[np.searchsorted(self.points, gapped[spelled])]
+        short = LEADS[0] * DIGITS**2
+        far = r >= short
+        n = np.ones(len(s), np.int64)
+        n[spelled] = np.where(far, 5, 3)
+        out, at = np.repeat(s, n), np.cumsum(n)[spelled] - 1  # the last symbol of each
+        for lead, digits, which, x in ((2 + DIRECT, 2, ~far, r), (2 + DIRECT + LEADS[0], 4, far, r - short)):
+            x, end = x[which], at[which]
+            for k in range(digits):
+                out[end - k] = 2 + DIRECT + sum(LEADS) + x % DIGITS
+                x = x // DIGITS
+            out[end - digits] = lead + x
+        return out
+
+
 @dataclass
 class Model:
-    """Learned languages, the symbol of each code point, automata, and log2 of each training length."""
+    """Learned languages, the alphabet, automata, and log2 of each training length."""
 
     langs: list[str]
-    symbol: np.ndarray
+    alphabet: Alphabet
     automata: list[Automaton]
     bits: np.ndarray
 
@@ -127,10 +167,12 @@ class Model:
         language where a language weighs 2 to the power of minus 8 times its bits per letter; ties go to the first."""
         points = [points_of(t) for t in texts]
         known = [bool(len(p)) and bool(letters(p).any()) for p in points]
-        owner, pieces = [], []
+        owner, pieces, total = [], [], np.ones(len(texts))
         for i, p in enumerate(points):
             if known[i] and self.langs:
-                s = self.symbol[_gapped(p)]
+                g = _gapped(p)
+                s = self.alphabet.encode(g)
+                total[i] = len(g)
                 for j in range(0, len(s), PIECE):
                     owner.append(i)
                     pieces.append(s[j : j + PIECE])
@@ -147,7 +189,6 @@ class Model:
             of = np.array(owner)[order]
             for a, automaton in enumerate(self.automata):
                 counts[a] = np.bincount(of, automaton.phrases(grid, active), len(texts))
-        total = np.bincount(owner, lengths, len(texts)) if len(owner) else np.ones(len(texts))
         langs, scores = [], []
         for i in range(len(texts)):
             if not known[i] or not self.langs:
@@ -161,35 +202,42 @@ class Model:
         return langs, scores
 
 
+def _evenly(docs: list[np.ndarray], most: int) -> np.ndarray:
+    """The documents one after the other, each cut to the same length at which they have `most` symbols together."""
+    sizes = np.sort([len(x) for x in docs])
+    up, left = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(sizes), 0, -1)
+    level = next((-(-(most - int(u)) // int(n)) for u, n, x in zip(up, left, sizes) if u + n * x >= most), most)
+    return np.concatenate([x[:level] for x in docs])[:most]
+
+
 def learn(samples: dict[str, list[str]]) -> Model:
     """Model of sample texts per language; ties go to the language that comes first."""
     langs = list(samples)
     each = min(LETTERS, ALL_LETTERS // max(1, len(langs)))
-    seqs = [np.concatenate([np.append(_gapped(points_of(t.encode())), 0) for t in samples[k]])[:each] for k in langs]
-    symbol = np.full(0x110000, 1, np.uint8)  # 0: gap, 1: other letters
-    symbol[0] = 0
-    if langs:
-        values, n = np.unique(np.concatenate(seqs), return_counts=True)
-        common = values[np.lexsort((values, -n))]
-        common = common[common != 0][:SYMBOLS]
-        symbol[common] = np.arange(2, 2 + len(common))
-    return Model(langs, symbol, [Automaton(symbol[s], SYMBOLS + 2) for s in seqs], np.log2([max(2, len(s)) for s in seqs]))
+    docs = [[np.append(_gapped(points_of(t.encode())), 0) for t in samples[k]] for k in langs]
+    values, n = np.unique(np.concatenate([x for d in docs for x in d]) if docs else np.empty(0, np.int32), return_counts=True)
+    common = values[np.lexsort((values, -n))]
+    alphabet = Alphabet(common[common != 0])
+    seqs = [_evenly([alphabet.encode(x) for x in d], each) for d in docs]
+    return Model(langs, alphabet, [Automaton(s, WIDTH) for s in seqs], np.log2([max(2, len(s)) for s in seqs]))
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts to learn from, the most frequent language first: of each of MOST_LANGS languages at most DOCS documents,
-    chosen by a hash of doc_id, and of each the first PER_DOC * 2 characters.
+    """Texts to learn from, the most frequent language first: of each labelled language at most DOCS documents, chosen
+    by a hash of doc_id, and of each PER_DOC * 2 characters that begin at a place given by such a hash.
 
     Documents held out (crc32 of doc_id modulo 5 is 0) have no part in any of this, nor have those without a letter.
     """
     own = docs.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
-    by_lang = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    by_lang = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     rank = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("place")), F.greatest(F.lit(1), F.length("text") - 2 * PER_DOC + 1)) + 1
+    part = F.substring("text", place.cast("int"), 2 * PER_DOC)
     out: dict[str, list[str]] = {k: [] for k in by_lang}
     if by_lang:
         # twice the documents wanted, as some are without letters; a language of few gives all
         cut = F.element_at(F.create_map(*[F.lit(x) for k, n in by_lang.items() for x in (k, int((1 << 40) * min(1.0, 2 * DOCS / n)))]), F.col("lang"))
-        rows = own.withColumn("_r", rank).filter((F.col("_r") < cut) & F.col("text").rlike(r"\p{L}")).select("lang", "_r", F.substring("text", 1, 2 * PER_DOC).alias("text"))
+        rows = own.withColumn("_r", rank).filter(F.col("_r") < cut).select("lang", "_r", part.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
         for r in sorted(rows.orderBy("_r", "lang", "text").limit(8 * DOCS * len(by_lang)).collect(), key=lambda r: (r["lang"], r["_r"], r["text"])):
             if len(of := out[r["lang"]]) < DOCS:
                 of.append(r["text"])
