@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tracewell.llm import line_dedup
+from tracewell.llm.queries import QUERIES
 
 
 def plain_passages(rows, least, passage):
@@ -63,3 +64,11 @@ def test_selected_hashes_cover_every_passage():
         k = min(line_dedup.GRAM, (passage + 1) // 2)
         assert all(any(s <= a <= s + passage - k for a in at) for s in range(len(words) - passage + 1))
         assert passage < 50 or len(at) < len(words) / 5
+
+
+def test_repeated_short_lines_go(spark, tmp_path):
+    notice = "All rights reserved by the owner of this page"
+    rows = [(i, f"text {i} alone\n{notice}\nto {i} end\nfour words stay here") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in QUERIES["op1_passage_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if i == 0 else t.replace(notice + "\n", "") for i, t in rows}

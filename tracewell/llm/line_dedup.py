@@ -29,6 +29,8 @@ from .common import WORD, as_bytes, fresh, map_batches, slices, stored
 
 #: A run of whole lines with so many words is always found; a passage within lines only by passages().
 LEAST_WORDS = 50
+#: The same where repeated short lines are to go as well.
+SHORT_WORDS = 5
 #: A repeated passage of so many words is always found by passages(), wherever it begins; words that are hashed as one.
 PASSAGE_WORDS, GRAM = 50, 25
 #: Odd bases of the polynomials over words.

@@ -24,9 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1_line_dedup, whose SQL knows whole lines only, with repeated passages inside lines deleted as well."""
+    """op1_line_dedup, whose SQL knows runs of 50 words of whole lines only, with repeated passages inside lines and
+    repeated lines of few words deleted as well."""
     docs = _documents(spark, sf_dir)
-    return line_dedup.line_dedup(docs, passage=line_dedup.PASSAGE_WORDS).select("doc_id", "text", "lines_removed")
+    return line_dedup.line_dedup(docs, line_dedup.SHORT_WORDS, passage=line_dedup.PASSAGE_WORDS).select("doc_id", "text", "lines_removed")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
