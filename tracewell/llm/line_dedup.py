@@ -1,10 +1,10 @@
-"""Line dedup: winnowed line hashes find repeated runs of lines; the later ones are deleted.
+"""Line dedup: digests of windows of lines find repeated runs of lines; the later ones are deleted.
 
 A run of whole lines with `least` words or more in all is deleted where it occurred before (in an earlier document,
 by doc_id, or further up). Windows are the shortest runs of lines that reach `least` words, from each line on and up
-to each line. The window's minimal line hash is its fingerprint, so that every repeat has a fingerprint in common.
-Fingerprints that occur once drop out; the windows of the others meet on their whole content, which extends a match
-from its minimum both ways to the window's ends, and windows that overlap or touch extend each other to the whole
+to each line; all of them are emitted, none is selected as winnowing would. The window's minimal line hash only
+narrows down: windows whose hash occurs once drop out. The others meet on digests of their whole content, which take
+the place of joined positions and their extension; windows that overlap or touch make up the whole
 run. Deleting what the windows cover deletes exactly the lines that lie in a repeated run.
 
 Passages that begin or end inside a line are found on words (passages()): runs of GRAM words are hashed, and the least
