@@ -110,22 +110,8 @@ def test_lm_score(spark, sf, odd, odd_rows, empty):
     assert nothing.collect() == []
 
 
-def test_lm_is_a_distribution():
-    rng = np.random.default_rng(0)
-    words = [b"", *(f"w{i}".encode() for i in range(40))]
-    model = lm.Model(b"".join(words), np.array([len(w) for w in words], np.int32), rng.integers(1, 50, 41).astype(np.int64), np.full(lm.CLASSES, 0.5))
-    model.tables = rng.integers(0, 9, (lm.CONTEXTS, 2, 1 << lm.SLOT_BITS)).astype(np.float32)
-    leaves = np.arange(41 + lm.CLASSES, dtype=np.int32)
-    assert (10 ** model.mixed(leaves, np.ones(len(leaves), np.int64))).sum() == pytest.approx(1.0, abs=1e-4)
-    head = np.array([3, 5, 3], np.int32)
-    before = model.mixed(head, np.array([3]))[0]
-    longer = np.concatenate([np.append(head, x) for x in leaves]).astype(np.int32)
-    assert (10 ** (model.mixed(longer, np.full(len(leaves), 4)) - before)).sum() == pytest.approx(1.0, abs=1e-3)
-    assert model.mixed(longer, np.full(len(leaves), 4))[7] == pytest.approx(model.mixed(np.append(head, 7).astype(np.int32), np.array([4]))[0])
-
-
-def test_rare_words_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 3)
+def test_counts_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 40)  # many buckets
     docs = spark.createDataFrame([(i, "a a a b b c " + ("zz" if i % 2 else "yy")) for i in range(30)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     counts = collections.Counter(w for r in got.values() if not r.held_out for w in tokens("a a a b b c " + ("zz" if r.doc_id % 2 else "yy")))
