@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, components, langid, line_dedup, mixing, simhash, spotsigs, token_counts
+from tracewell.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -51,6 +53,7 @@ def plain_line_dedup(rows, least):
 
 def test_line_dedup_equals_all_runs(spark, odd, odd_rows):
     got = line_dedup.line_dedup(odd, removed_as="n_removed").collect()
+    assert line_dedup.line_dedup(odd).columns == [*odd.columns, "_lines_removed"]
     want = plain_line_dedup(odd_rows, line_dedup.LEAST_WORDS)
     assert len(got) == len(odd_rows) and got[0]._doc is not None and got[0].lines_removed is not None
     for r in got:
@@ -68,6 +71,60 @@ def test_line_dedup_random(spark):
         assert got == {i: want.get(i, t) for i, t in rows}
 
 
+def test_line_dedup_of_one_id_with_different_texts(spark):
+    body = "\n".join(f"line {k} of the text that is repeated in full" for k in range(8))
+    own = "keep0\nkeep1\nkeep2\nkeep3\nunique line that never occurred before"
+    rows = [(1, body), (2, body), (2, own), (2, "short"), (2, own), (3, own + "\n" + body), (None, body)]
+    got = sorted((r.doc_id or 0, r.text, r.lines_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, body, 0), (2, "", 8), (2, own, 0), (2, "short", 0), (2, own, 0), (3, own, 8), (0, body, 0)])
+    # one id, two texts that share a run: the text with the smaller hash is the first
+    rows = [(7, body + "\na"), (7, body + "\nb")]
+    got = [r.lines_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [0, 8]
+
+
+def test_line_dedup_query_on_clashing_columns(spark, odd, odd_rows, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_line_dedup"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lines_removed"] and got.count() == len(odd_rows)
+    assert {r.doc_id: r.lines_removed for r in got.collect()}[2] == 6
+
+
+def test_windows_and_their_kept_lines():
+    rng = random.Random(9)
+    for _ in range(2000):
+        words, least = [rng.choice([0, 0, 1, 2, 5, 9]) for _ in range(rng.randrange(1, 14))], rng.choice([1, 3, 7, 12])
+        n = len(words)
+        runs = [(i, j) for i in range(n) for j in range(i, n) if sum(words[i : j + 1]) >= least]
+        want = {(i, min(j for a, j in runs if a == i)) for i, _ in runs} | {(max(i for i, b in runs if b == j), j) for _, j in runs}
+        got = line_dedup.windows(words, least)
+        assert sorted(got) == sorted(want)
+        hashes = [rng.randrange(5) for _ in words]
+        for (i, j), m in zip(got, line_dedup.kept(hashes, got)):
+            assert i <= m <= j and all(hashes[m] < h or (hashes[m] == h and x <= m) for x, h in enumerate(hashes[i : j + 1], i))
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    run = "\n" * 100_000 + " ".join(f"w{k}" for k in range(60))
+    rows = [(1, run), (2, "x\n" + run), (3, "\n" * 100_000)]
+    started = time.time()
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - started < 60
+    assert got[1].lines_removed == 0 and got[2].text == "x" and got[3].lines_removed == 0
+
+
+def test_hot_lines_go_by_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice(["a a", "b b b", "c", f"u{i}"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for hot in (1, 5, 10**9):  # no key is hot; some are; all are
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got.append({r.doc_id: r.text for r in line_dedup.line_dedup(docs, 4).collect()})
+    want = plain_line_dedup(rows, 4)
+    assert got[0] == got[1] == got[2] == {i: want.get(i, t) for i, t in rows}
+
+
 # 4
 
 

@@ -1,21 +1,28 @@
-"""Line dedup: digests of windows of lines find repeated runs of lines; the later ones are deleted.
+"""Line dedup: winnowing over line hashes finds repeated runs of lines; the later ones are deleted.
 
 A run of whole lines with `least` words or more in all is deleted where it occurred before (in an earlier document,
 by doc_id, or further up). Windows are the shortest runs of lines that reach `least` words, from each line on and up
-to each line; all of them are emitted, none is selected as winnowing would. The window's minimal line hash only
-narrows down: windows whose hash occurs once drop out. The others meet on digests of their whole content, which take
-the place of joined positions and their extension; windows that overlap or touch make up the whole
-run. Deleting what the windows cover deletes exactly the lines that lie in a repeated run.
+to each line. Winnowing keeps the place of each window's least line hash (the last one, if several are equal): equal
+windows have it at the same line, so that any repeated run has a kept hash in common with its first occurrence. Places
+are joined by that hash; those without a partner drop out, and no text is looked at for them again. Around the others
+the match is extended both ways over the line hashes as far as the windows reach that the hash was kept for: they meet
+on digests of their lines' hashes, made for these windows alone, and the first place of each is the one that stays.
+Windows that overlap or touch extend each other to the whole run. (Comparing the places of a hash with one another
+would be all pairs of a group; a digest finds the first equal one in linear time.)
 
 Passages that begin or end inside a line are found on words (passages()): runs of GRAM words are hashed, and the least
 hash of any PASSAGE_WORDS words in a row is selected, so that two equal runs of PASSAGE_WORDS words have a selected
 hash in common. Runs of PASSAGE_WORDS words whose least hash was selected at more than one place meet on digests;
 overlapping ones extend each other both ways to the whole passage, of which the later occurrence is deleted.
+
+A place is (doc_id, hash of the text, line or word): rows with one doc_id and different texts are different places,
+in the order of their texts' hashes; rows with equal doc_id and text are one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,55 +40,121 @@ LEAST_WORDS = 50
 SHORT_WORDS = 5
 #: A repeated passage of so many words is always found by passages(), wherever it begins; words that are hashed as one.
 PASSAGE_WORDS, GRAM = 50, 25
+#: A key that has more than this part of all rows is hot.
+HOT = 1000
 #: Odd bases of the polynomials over words.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def windows(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(first line, last line, fingerprint, digest of the content) of each window of a text."""
-    lines = text.split(b"\n")
-    n = len(lines)
-    words = np.fromiter((len(x.split()) for x in lines), np.int64, n)
-    if words.sum() < least:
-        return []
-    up = np.concatenate([[0], np.cumsum(words)])  # words before each line
-    # from each first line the least last line, and the other way round
-    last = np.searchsorted(up, up[:-1] + least, side="left") - 1
-    first = np.searchsorted(up, up[1:] - least, side="right") - 1
-    spans = {(i, j) for i, j in enumerate(last.tolist()) if j < n} | {(i, j) for j, i in enumerate(first.tolist()) if i >= 0}
-    h = [xxhash.xxh64_intdigest(x) for x in lines]
-    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
-    return [(i, j, h[i] if i == j else min(h[i : j + 1]), xxhash.xxh3_128_digest(text[at[i] : at[j + 1] - 1])) for i, j in sorted(spans)]
-
-
-def _windows_of(docs: DataFrame, least: int) -> DataFrame:
+def windows(words: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """(first line, last line) of the shortest runs with `least` words, from each line on and up to each line; neither
+    ever goes back."""
+    out: list[tuple[int, int]] = []
+    i = fresh_from = total = 0  # of lines i to j; lines from fresh_from on have no run yet
+    for j, n in enumerate(words):
+        total += n
+        if total >= least:
+            while total - words[i] >= least:
+                total -= words[i]
+                i += 1
+            out += [(x, j) for x in range(fresh_from, i)]
+            out.append((i, j))
+            fresh_from = i + 1
+    return out
+
+
+def kept(hashes: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """The line of each window's least hash, the last one of equals; windows in order."""
+    queue: deque[int] = deque()
+    out, upto = [], 0
+    for i, j in spans:
+        while upto <= j:
+            while queue and hashes[queue[-1]] >= hashes[upto]:
+                queue.pop()
+            queue.append(upto)
+            upto += 1
+        while queue[0] < i:
+            queue.popleft()
+        out.append(queue[0])
+    return out
+
+
+def digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each run of lines, as two arrays: polynomials over the lines' hashes, by prefix sums."""
+    out = []
+    for base in BASES:
+        up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64)])
+        x = (up[last + 1] - up[first]) * _powers(pow(base, -1, 1 << 64), len(hashes))[first] + (last - first).astype(np.uint64)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append((x ^ (x >> np.uint64(29))).view(np.int64))
+    return out
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, text) of the rows that are looked at."""
+    text = F.col("text").cast("string")
+    return docs.filter(F.col("doc_id").isNotNull() & text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+
+
+def _lines_of(own: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_id, hashes, words, kept hashes) of each text that has `least` words: all that is needed of its lines."""
+
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+        text = as_bytes(b.column(2))
         for s, e in slices(text, 2_000_000):
-            rows = [(k, *w) for k, x in zip(ids[s:e].tolist(), text.slice(s, e - s)) if (t := x.as_py()) for w in windows(t, least)]
-            if rows:
-                doc, i, j, h, digest = zip(*rows)
-                both = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            at, out = [], []
+            for k in range(s, e):
+                lines = text[k].as_py().split(b"\n")
+                words = [len(x.split()) for x in lines]
+                if sum(words) >= least:
+                    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
+                    marks = sorted(set(kept(hashes, windows(words, least))))
+                    at.append(k)
+                    out.append((np.array(hashes, np.uint64).view(np.int64), words, np.array([hashes[m] for m in marks], np.uint64).view(np.int64)))
+            if at:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(doc, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())],
-                    ["fp", "w1", "w2", "doc_id", "i", "j"],
-                )
+                    [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array([x for x, _, _ in out], pa.list_(pa.int64())),
+                     pa.array([x for _, x, _ in out], pa.list_(pa.int32())), pa.array([x for _, _, x in out], pa.list_(pa.int64()))],
+                    ["doc_id", "text_id", "hashes", "words", "fps"],
+                )
 
-    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(own, run, "fp long, w1 long, w2 long, doc_id long, i int, j int")
+    return map_batches(own, run, "doc_id long, text_id long, hashes array<long>, words array<int>, fps array<long>")
+
+
+def met(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """The rows whose keys occur more than once, with the first place of each as column `first`.
+
+    Keys are counted before the shuffle. A key with more than a HOTth of all rows (less than HOT keys, whatever the
+    input) goes to the rows by broadcast, so that no task has all rows of it; other rows go to their keys.
+    """
+    counts = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")).filter("n > 1"))
+    many = rows.count() // HOT
+    hot = F.broadcast(counts.filter(F.col("n") > many).drop("n"))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(counts.filter(F.col("n") <= many).drop("n"), keys))
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, spans array<struct<i, j>>): the windows of each document that occurred before, by line numbers from 0."""
-    found = stored(_windows_of(docs, least))
-    # fingerprints at more than one place; counted before the shuffle, so that a frequent one is a row per task
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    met = found.join(often, "fp", "left_semi")
-    firsts = (
-        met.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
-    )
-    later = met.join(firsts, ["w1", "w2"]).filter(F.struct("doc_id", "i") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
+    """(doc_id, text_id, spans array<struct<i, j>>): each text's windows that occurred before, by line numbers from 0."""
+    found = stored(_lines_of(_own(docs), least))
+    marks = found.select("doc_id", "text_id", F.posexplode("fps").alias("at", "fp"))
+    near = met(marks, ["fp"], ["doc_id", "text_id", "at"]).groupBy("doc_id", "text_id").agg(F.collect_set("fp").alias("near"))
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for doc, text_id, hashes, words, near in zip(*(b.column(i) for i in range(5))):
+            h, near = hashes.values.to_numpy().view(np.uint64), set(near.as_py())
+            spans, signed = windows(words.as_py(), least), hashes.as_py()
+            take = [x for x, m in zip(spans, kept(h.tolist(), spans)) if signed[m] in near]
+            i, j = np.array(take, np.int64).reshape(-1, 2).T
+            w1, w2 = digests(h, i, j)
+            same = [pa.array(np.full(len(i), x.as_py(), np.int64)) for x in (doc, text_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), *same, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], ["w1", "w2", "doc_id", "text_id", "i", "j"])
+
+    around = found.join(near, ["doc_id", "text_id"]).select("doc_id", "text_id", "hashes", "words", "near")
+    place = ["doc_id", "text_id", "i"]
+    extended = stored(map_batches(around, run, "w1 long, w2 long, doc_id long, text_id long, i int, j int"))
+    later = met(extended, ["w1", "w2"], place).filter(F.struct(*place) > F.col("first"))
+    return later.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -141,14 +214,14 @@ def selected(words: list[bytes], passage: int = PASSAGE_WORDS) -> tuple[np.ndarr
 
 def _selected_of(docs: DataFrame, passage: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+        text, ids = as_bytes(b.column(2)), [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
         for s, e in slices(text, 2_000_000):
-            found = [selected((x.as_py() or b"").split(), passage) for x in text.slice(s, e - s)]
+            found = [selected(x.as_py().split(), passage) for x in text.slice(s, e - s)]
             at, fp = (np.concatenate(x) for x in zip(*found))
-            doc = np.repeat(ids[s:e], [len(x) for x, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], ["fp", "doc_id", "at"])
+            n = [len(x) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), *(pa.array(np.repeat(x[s:e], n), pa.int64()) for x in ids), pa.array(at.astype(np.int32))], ["fp", "doc_id", "text_id", "at"])
 
-    return map_batches(docs, run, "fp long, doc_id long, at int")
+    return map_batches(docs, run, "fp long, doc_id long, text_id long, at int")
 
 
 def covered(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -161,33 +234,33 @@ def covered(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def passages(docs: DataFrame, lines: DataFrame, passage: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, runs array<int>): first words, from 0, of the runs of `passage` words that occurred before.
+    """(doc_id, text_id, runs array<int>): first words, from 0, of the runs of `passage` words that occurred before.
 
-    lines (doc_id, spans) are repeats() of docs; runs that lie in them go anyhow, and are left out here.
+    lines (doc_id, text_id, spans) are repeats() of docs; runs that lie in them go anyhow, and are left out here.
     """
-    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = _own(docs)
     found = stored(_selected_of(own, passage))
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    near = found.join(often, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    near = met(found, ["fp"], ["doc_id", "text_id", "at"]).groupBy("doc_id", "text_id").agg(F.collect_set("fp").alias("fps"))
     k = min(GRAM, (passage + 1) // 2)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for doc, text, fps, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for doc, text_id, text, fps, spans in zip(*(b.column(i).to_pylist() for i in range(5))):
             words = text.encode().split()
             # a run that occurs twice has its least hash at two selected places
             take = np.isin(_slide(grams(words, k, BASES[0]), passage - k + 1, np.minimum).view(np.int64), fps)
             if spans:
-                kept = np.concatenate([[0], np.cumsum(~covered(text, [(s["i"], s["j"]) for s in spans]))])
-                take &= kept[passage:] > kept[:-passage]
+                left = np.concatenate([[0], np.cumsum(~covered(text, [(s["i"], s["j"]) for s in spans]))])
+                take &= left[passage:] > left[:-passage]
             i = np.flatnonzero(take)
             w1, w2 = (grams(words, passage, base)[i].view(np.int64) for base in BASES)
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(len(i), doc, np.int64)), pa.array(i.astype(np.int32))], ["w1", "w2", "doc_id", "i"])
+            same = [pa.array(np.full(len(i), x, np.int64)) for x in (doc, text_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), *same, pa.array(i.astype(np.int32))], ["w1", "w2", "doc_id", "text_id", "i"])
 
-    around = own.join(near, "doc_id").join(lines, "doc_id", "left").select("doc_id", "text", "fps", "spans")
-    met = stored(map_batches(around, run, "w1 long, w2 long, doc_id long, i int"))
-    firsts = met.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
-    later = met.join(firsts, ["w1", "w2"]).filter(F.struct("doc_id", "i") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("i").alias("runs"))
+    both = ["doc_id", "text_id"]
+    around = own.join(near, both).join(lines, both, "left").select(*both, "text", "fps", "spans")
+    extended = stored(map_batches(around, run, "w1 long, w2 long, doc_id long, text_id long, i int"))
+    later = met(extended, ["w1", "w2"], [*both, "i"]).filter(F.struct(*both, "i") > F.col("first"))
+    return later.groupBy(*both).agg(F.collect_set("i").alias("runs"))
 
 
 def without_passages(text: str, spans: list[tuple[int, int]], runs: list[int], passage: int = PASSAGE_WORDS) -> tuple[str, int]:
@@ -222,17 +295,19 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, removed_as: str = "lin
     """docs with the text's repeated runs deleted, and one more column, the number of lines removed.
 
     A text whose lines are all repeated becomes empty; null and empty texts stay, with 0 lines removed; rows without
-    a doc_id are neither changed nor looked at. Lines with less than `least` words in all stay, however frequent. Of
-    equal rows (same doc_id) the runs count as one place, and all are cut alike. All columns are kept; the new one must
-    not be among them. With `passage`, repeated runs of so many words or more are deleted as well, wherever in a line
-    they begin or end; lines that lose all words count as removed.
+    a doc_id are neither changed nor looked at. Lines with less than `least` words in all stay, however frequent. Rows
+    with equal doc_id and text are one place, and all are cut alike; of different texts with one doc_id each has its
+    own. All columns are kept; if `removed_as` is among them, the new one has underscores before its name (fresh()).
+    An empty table gives an empty one. With `passage`, repeated runs of so many words or more are deleted as well,
+    wherever in a line they begin or end; lines that lose all words count as removed.
     """
-    doc, cuts = fresh(docs, "_doc"), fresh(docs, "_spans")
+    removed_as = fresh(docs, removed_as)
+    doc, text_id, cuts = fresh(docs, "_doc"), fresh(docs, "_text_id"), fresh(docs, "_spans")
     spans = repeats(docs, least)
     if passage:
         spans = stored(spans)
-        spans = spans.join(passages(docs, spans, passage), "doc_id", "full").select("doc_id", F.struct("spans", "runs"))
-    spans = spans.toDF(doc, cuts)
+        spans = spans.join(passages(docs, spans, passage), ["doc_id", "text_id"], "full").select("doc_id", "text_id", F.struct("spans", "runs"))
+    spans = spans.toDF(doc, text_id, cuts)
     at = docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -251,6 +326,6 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, removed_as: str = "lin
         yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], [*b.schema.names[:-1], removed_as])
 
     own = docs.withColumn("text", F.col("text").cast("string"))
-    joined = own.join(spans, own["doc_id"] == spans[doc], "left").drop(doc)
+    joined = own.join(spans, (own["doc_id"] == spans[doc]) & (F.xxhash64(own["text"]) == spans[text_id]), "left").drop(doc, text_id)
     schema = T.StructType([*own.schema.fields, T.StructField(removed_as, T.LongType())])
     return map_batches(joined, run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, langid, line_dedup, lm, mixing, quality, simhash, spotsigs, token_counts
-from .common import crc_mod
+from .common import crc_mod, fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,14 +20,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return line_dedup.line_dedup(docs).select("doc_id", "text", "lines_removed")
+    removed = F.col(fresh(docs, "lines_removed")).alias("lines_removed")
+    return line_dedup.line_dedup(docs).select("doc_id", "text", removed)
 
 
 def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1_line_dedup, whose SQL knows runs of 50 words of whole lines only, with repeated passages inside lines and
     repeated lines of few words deleted as well."""
     docs = _documents(spark, sf_dir)
-    return line_dedup.line_dedup(docs, line_dedup.SHORT_WORDS, passage=line_dedup.PASSAGE_WORDS).select("doc_id", "text", "lines_removed")
+    removed = F.col(fresh(docs, "lines_removed")).alias("lines_removed")
+    return line_dedup.line_dedup(docs, line_dedup.SHORT_WORDS, passage=line_dedup.PASSAGE_WORDS).select("doc_id", "text", removed)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
