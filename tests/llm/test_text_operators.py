@@ -259,6 +259,18 @@ def test_phrases_are_greedy_longest_matches():
         assert a.phrases(grid, [1] * len(text))[0] == n
 
 
+def test_phrases_go_on_over_pieces(monkeypatch):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("abcdé ") for _ in range(400)) for _ in range(3)]
+    model = langid.learn({f"l{k}": [t] for k, t in enumerate(own)})
+    texts = [(rng.choice(own)[rng.randrange(300) :] * rng.randrange(1, 6) + "".join(rng.choice("abcdé ") for _ in range(rng.randrange(200)))).encode() for _ in range(30)]
+    said = []
+    for piece in (10**6, 64, 7, 1):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        said.append(model.predict(texts))
+    assert said[0] == said[1] == said[2] == said[3]
+
+
 def test_language_id(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.learn(langid.sample(docs))

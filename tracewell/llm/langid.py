@@ -2,8 +2,9 @@
 
 A suffix automaton of a language's training text gives, from any place of a document, the longest match that occurs
 in the training text. Greedy longest matches cut the document into phrases; phrases times log2(training length) over
-the document's length estimates the cross entropy. Texts are cut into pieces of PIECE letters, and the automaton
-steps through all pieces of a batch at once.
+the document's length estimates the cross entropy. The automaton steps through pieces of PIECE letters side by side, and
+then again through the beginnings of pieces, with the state that the piece before ended in, until it is where it was:
+the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -103,18 +104,38 @@ class Automaton:
         self.table = self.table.ravel()
         self.first = self.table[:width].copy()
 
-    def phrases(self, symbols: np.ndarray, active: list[int]) -> np.ndarray:
-        """Number of phrases of each column of symbols (steps by pieces); at step i the first active[i] columns go on."""
-        n = symbols.shape[1]
-        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for row, k in zip(symbols, active):
-            c = row[:k]
-            to = self.table[state[:k] + c]
-            miss = to < 0
-            count[:k] += miss
-            np.copyto(to, self.first[c], where=miss)
-            state[:k] = to
-        return count + 1
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ended before the symbol."""
+        to = self.table[state + symbols]
+        miss = to < 0
+        np.copyto(to, self.first[symbols], where=miss)
+        return to, miss
+
+    def phrases(self, symbols: np.ndarray, active: list[int], after: np.ndarray | None = None) -> np.ndarray:
+        """Number of phrases that end within each column of symbols (steps by pieces), or with it if none follows; at
+        step i the first active[i] columns go on. after: the column that comes before each one in its text (one as
+        long as there are steps), or -1."""
+        after = np.full(symbols.shape[1], -1) if after is None else after
+        states, ended = np.zeros(symbols.shape, np.int32), np.zeros(symbols.shape, bool)
+        state = np.zeros(symbols.shape[1], np.int32)
+        for i, k in enumerate(active):
+            state[:k], ended[i, :k] = self._step(state[:k], symbols[i, :k])
+            states[i, :k] = state[:k]
+        following = np.flatnonzero(after >= 0)
+        todo = following
+        while len(todo):
+            at, state = todo, states[-1, after[todo]]
+            for i, k in enumerate(active):
+                some = at < k  # shorter pieces are over
+                at, state = at[some], state[some]
+                state, miss = self._step(state, symbols[i, at])
+                new = states[i, at] != state
+                ended[i, at], states[i, at] = miss, state
+                at, state = at[new], state[new]
+                if not len(at):
+                    break
+            todo = following[np.isin(after[following], at)]  # what still differs at its end goes on in the next piece
+        return ended.sum(axis=0) + ~np.isin(np.arange(len(after)), after[following])
 
 
 @dataclass
@@ -167,13 +188,14 @@ class Model:
         language where a language weighs 2 to the power of minus 8 times its bits per letter; ties go to the first."""
         points = [points_of(t) for t in texts]
         known = [bool(len(p)) and bool(letters(p).any()) for p in points]
-        owner, pieces, total = [], [], np.ones(len(texts))
+        owner, pieces, before, total = [], [], [], np.ones(len(texts))
         for i, p in enumerate(points):
             if known[i] and self.langs:
                 g = _gapped(p)
                 s = self.alphabet.encode(g)
                 total[i] = len(g)
                 for j in range(0, len(s), PIECE):
+                    before.append(len(owner) - 1 if j else -1)
                     owner.append(i)
                     pieces.append(s[j : j + PIECE])
         lengths = np.array([len(p) for p in pieces], np.int64)
@@ -186,9 +208,10 @@ class Model:
                 grid[r, : lengths[k]] = pieces[k]
             grid = np.ascontiguousarray(grid.T)
             active = np.searchsorted(-ranked, -np.arange(len(grid)), side="left").tolist()
-            of = np.array(owner)[order]
+            of, column, before = np.array(owner)[order], np.argsort(order), np.array(before)[order]
+            after = np.where(before >= 0, column[before], -1)
             for a, automaton in enumerate(self.automata):
-                counts[a] = np.bincount(of, automaton.phrases(grid, active), len(texts))
+                counts[a] = np.bincount(of, automaton.phrases(grid, active, after), len(texts))
         langs, scores = [], []
         for i in range(len(texts)):
             if not known[i] or not self.langs:
