@@ -125,6 +125,24 @@ def test_hot_lines_go_by_broadcast(spark, monkeypatch):
     assert got[0] == got[1] == got[2] == {i: want.get(i, t) for i, t in rows}
 
 
+# 2
+
+
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    import base64
+
+    words = [bytes([b]) for b in range(256)] + [b"a" + bytes([k // 256, k % 256]) for k in range(65536 - 256)] + [b"zq"]
+    vocabulary = tmp_path / "large.tiktoken"
+    vocabulary.write_bytes(b"\n".join(base64.b64encode(w) + b" " + str(i).encode() for i, w in enumerate(words)))
+    docs = spark.createDataFrame([(1, "zqzq"), (2, None), (3, "ab zq")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.document_counts(docs, str(vocabulary), 70_000).collect()}
+    assert got == {1: 2, 2: 0, 3: 4}
+    with pytest.raises(Exception, match="can't hold the id"):
+        token_counts.flat_files(docs, str(vocabulary), 60_000).collect()
+    with pytest.raises(ValueError, match="can't hold the id"):
+        token_counts.flat_files(docs, str(vocabulary), 70_000)
+
+
 # 4
 
 

@@ -1,4 +1,5 @@
-"""Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
+"""Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other. The
+content view has the words and the make-up of the characters, the metadata view language, source and size alone.
 
 Both are logistic regressions. In each round either one scores a pool of unlabelled documents, and those that it is
 most sure of, in the proportions of the labels, join the other one's training set with its verdicts. In the end each
@@ -22,15 +23,23 @@ from .common import as_bytes, crc_mod, map_batches, slices
 #: Bounds of the fit: labelled documents, documents of the pool, rounds, and the share of the pool that a view hands
 #: over in a round.
 LABELLED, POOL, ROUNDS, SHARE = 3_000, 2_000, 4, 0.08
-#: Hashed features of the content view.
+#: Hashed features of the content view, and all of its features.
 WIDTH = 1 << 13
+CONTENTS = WIDTH + 12
+
+
+BYTE_KIND = np.zeros(256, np.int64)
+for _kind, _of in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:'", b"!#$%&*|<>=+@^~_/\\{}[]"), 1):
+    BYTE_KIND[list(_of)] = _kind
 
 
 def content(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word ends of a text: features and their weights, a unit vector."""
+    """Hashed words and word ends of a text, each a unit vector, and the make-up of its characters: features and their
+    weights."""
     n = Counter(text.split())
     if not n:
         return np.empty(0, np.int64), np.empty(0)
+    kinds = np.bincount(BYTE_KIND[np.frombuffer(text, np.uint8)], minlength=8) / len(text)
     words = list(n)
     count = np.fromiter(n.values(), float, len(words))
     at = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % (WIDTH // 2)
@@ -38,27 +47,26 @@ def content(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     x = np.bincount(np.concatenate([at, ends]), np.concatenate([np.log1p(count), count]), WIDTH)
     x[: WIDTH // 2] /= max(1e-9, np.sqrt((x[: WIDTH // 2] ** 2).sum()))
     x[WIDTH // 2 :] /= max(1e-9, np.sqrt((x[WIDTH // 2 :] ** 2).sum()))
+    x = np.concatenate([x, kinds * 4, np.sqrt(kinds[[1, 3, 6, 7]])])
     k = np.flatnonzero(x)
     return k, x[k]
 
 
-BYTE_KIND = np.zeros(256, np.int64)
-for _kind, _of in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:'", b"!#$%&*|<>=+@^~_/\\{}[]"), 1):
-    BYTE_KIND[list(_of)] = _kind
-METAS = 48
+#: Metadata: a constant, the size, and languages, sources and ranges of size by hashes, alone and in pairs.
+SIZES, LANGS, SOURCES, PAIRS = 12, 8, 24, 64
+METAS = 3 + SIZES + LANGS + SOURCES + PAIRS
 
 
-def metadata(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """What is known of a page without reading it: language, source, size, lines, and the make-up of its characters."""
+def metadata(size: int, lang: str | None, source: str | None) -> np.ndarray:
+    """What is known of a page without its words: language, source and size in bytes."""
     x = np.zeros(METAS)
-    n = len(text)
-    kinds = np.bincount(BYTE_KIND[np.frombuffer(text, np.uint8)], minlength=8) / max(1, n)
-    lines = text.count(b"\n") + 1
-    x[:8] = kinds * 4
-    x[8:12] = 1.0, np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8
-    x[12:16] = np.sqrt(kinds[[1, 3, 6, 7]])
-    x[16 + zlib.crc32((lang or "").encode()) % 8] = 0.5
-    x[24 + zlib.crc32((source or "").encode()) % 24] = 0.5
+    level = np.log1p(size) / 10
+    x[:3] = 1.0, level, level**2
+    at, k = 3, min(SIZES - 1, int(np.log2(1 + size) * 0.75))
+    x[at + k] = 0.5
+    x[at + SIZES + zlib.crc32((lang or "").encode()) % LANGS] = 0.5
+    x[at + SIZES + LANGS + zlib.crc32((source or "").encode()) % SOURCES] = 0.5
+    x[at + SIZES + LANGS + SOURCES + zlib.crc32(f"{lang or ''} {k}".encode()) % PAIRS] = 0.5
     return x
 
 
@@ -111,7 +119,7 @@ class Model:
     def odds(self, text: bytes, lang: str | None, source: str | None) -> tuple[float, float]:
         """Calibrated log odds of good quality by each view."""
         k, v = content(text)
-        z = float(self.content[k] @ v), float(self.metadata @ metadata(text, lang, source))
+        z = float(self.content[k] @ v), float(self.metadata @ metadata(len(text), lang, source))
         return self.slopes[0] * z[0] + self.offsets[0], self.slopes[1] * z[1] + self.offsets[1]
 
 
@@ -131,7 +139,7 @@ def co_train(labelled: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows]
     """Model of the labelled documents' views (content, metadata) and the pool's; every fourth labelled one only
     calibrates. Too few labels, or labels of one kind, give a model that says 0.5."""
     if len(y) < 8 or len(set(y.tolist())) < 2:
-        return Model(np.zeros(WIDTH), np.zeros(METAS))
+        return Model(np.zeros(CONTENTS), np.zeros(METAS))
     keep = np.arange(len(y)) % 4 == 3
     if len(set(y[~keep].tolist())) < 2 or len(set(y[keep].tolist())) < 2:
         keep = np.zeros(len(y), bool)
@@ -158,7 +166,7 @@ def co_train(labelled: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows]
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """(doc_id, y, at, x, metas): both views of each whole text, made where the text is; WIDTH + METAS numbers at most."""
+    """(doc_id, y, at, x, metas): both views of each whole text, made where the text is; CONTENTS + METAS numbers at most."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = as_bytes(b.column(2))
@@ -166,7 +174,7 @@ def _features(rows: DataFrame) -> DataFrame:
             part = b.slice(i, j - i)
             texts = [t or b"" for t in text.slice(i, j - i).to_pylist()]
             at, x = zip(*map(content, texts))
-            metas = [metadata(*r) for r in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
+            metas = [metadata(len(t), *r) for t, *r in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(metas, pa.list_(pa.float64()))],
                 ["doc_id", "y", "at", "x", "metas"],
@@ -179,7 +187,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from a bounded sample by a hash of doc_id: LABELLED documents with a label (0 or 1) and POOL without, each
     with its whole text.
 
-    Documents whose crc32(doc_id as text) modulo 5 is 0 are held out. Conflicting labels of one document count as 0.
+    Documents whose crc32(doc_id as text) modulo 5 is 0 are held out. Conflicting labels of one document count as 0;
+    of several rows with one doc_id the least (text, lang, source) is taken, nulls first. Null texts are empty, null
+    lang and source the empty text; rows without a doc_id, labels other than 0 and 1 and labels of documents that
+    aren't there are left out; other columns of either table are not read, whatever their names. Ties in the hash go
+    to the smaller doc_id. Empty tables, or labels of one kind, give a model that says 0.5.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40))
@@ -190,13 +202,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     pool = pool.distinct().join(known, "doc_id", "left_anti").orderBy(place, "doc_id").limit(POOL).withColumn("y", F.lit(None).cast("double"))
     ids = chosen.union(pool.select("doc_id", "y"))  # LABELLED + POOL rows at most
     own = docs.select("doc_id", *(F.col(c).cast("string") for c in ("text", "lang", "source")))
-    table = _features(own.join(F.broadcast(ids), "doc_id")).dropDuplicates(["doc_id"]).orderBy(place, "doc_id").toArrow()
+    one = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row"))
+    table = _features(one.select("doc_id", "y", "row.*")).orderBy(place, "doc_id").toArrow()
     y = table.column("y").to_numpy().astype(float)
     at, x, metas = (table.column(c).combine_chunks() for c in ("at", "x", "metas"))
     every = np.arange(METAS)
 
     def views(which: np.ndarray) -> tuple[Rows, Rows]:
-        return Rows([(at[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy()) for i in which.tolist()], WIDTH), Rows([(every, metas[i].values.to_numpy()) for i in which.tolist()], METAS)
+        return Rows([(at[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy()) for i in which.tolist()], CONTENTS), Rows([(every, metas[i].values.to_numpy()) for i in which.tolist()], METAS)
 
     has = ~np.isnan(y)
     return co_train(views(np.flatnonzero(has)), y[has], views(np.flatnonzero(~has)))

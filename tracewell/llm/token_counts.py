@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _each
+from .bpe import _each, tokenizer
 from .common import map_iter, stored
 
 #: Ids of a block, and blocks of a span of the prefix scan.
@@ -86,16 +86,20 @@ def counts(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
     return closed.select("file", (F.col("from") + F.col("pos")).alias("ordinal"), F.col("col").alias("n_tokens")).union(opened.select("file", "ordinal", "n_tokens"))
 
 
-def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> DataFrame:
+def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
     """Token files of docs (doc_id, text), one per task, in blocks: (file, block, ids binary, first, doc_ids).
 
     doc_ids names the documents that begin in the block, first the number of those before. They are the writer's own
     list, by which its caller finds the documents again; counts() doesn't read it. A null text is an empty document.
+    Ids that dtype can't hold are an error.
     """
+    most = np.iinfo(dtype).max
+    if end_id > most:
+        raise ValueError(f"{dtype} can't hold the id {end_id}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, number, first, ids, doc_ids = f"tokens-{TaskContext.get().partitionId():06d}", 0, 0, bytearray(), []
-        end, size = np.array([end_id], "<u2").tobytes(), 2 * block
+        end, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize * block
 
         def out(data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number]), pa.array([data], pa.binary()), pa.array([first]), pa.array([doc_ids], pa.list_(pa.int64()))], ["file", "block", "ids", "first", "doc_ids"])
@@ -104,7 +108,10 @@ def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> D
             for keys, blobs in _each(b, path):
                 for k, x in zip(keys.to_pylist(), blobs):
                     doc_ids.append(k)
-                    ids += np.frombuffer(x, "<u4").astype("<u2").tobytes() + end
+                    own = np.frombuffer(x, "<u4")
+                    if len(own) and own.max() > most:
+                        raise ValueError(f"{dtype} can't hold the id {own.max()}")
+                    ids += own.astype(dtype).tobytes() + end
                     while len(ids) >= size:
                         yield out(bytes(ids[:size]))
                         del ids[:size]
@@ -119,8 +126,10 @@ def flat_files(docs: DataFrame, path: str, end_id: int, block: int = BLOCK) -> D
 def document_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, file, ordinal, n_tokens): writes docs' token files to the shared folder and counts in them.
 
-    Null and empty texts have 0 tokens; repeated rows are documents of their own; an empty table gives no rows.
+    Null and empty texts have 0 tokens; repeated rows are documents of their own; an empty table gives no rows. Ids
+    take two bytes, or four if the vocabulary or the end needs them.
     """
-    blocks = stored(flat_files(docs, path, end_id), compression="zstd")
+    dtype = "<u2" if max(end_id, *tokenizer(path).ranks.values()) < 1 << 16 else "<u4"
+    blocks = stored(flat_files(docs, path, end_id, dtype=dtype), compression="zstd")
     names = blocks.select("file", "first", F.posexplode("doc_ids")).select("file", (F.col("first") + F.col("pos")).alias("ordinal"), F.col("col").alias("doc_id"))
-    return names.join(counts(blocks, end_id), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
+    return names.join(counts(blocks, end_id, dtype), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
