@@ -100,8 +100,28 @@ def test_graph(spark):
 
 def test_cycle(spark):
     nodes, edges = dag(spark)
-    with pytest.raises(ValueError, match="cycle"):
-        graph.longest(nodes, edges.union(spark.createDataFrame([("r", 4, 1)], edges.schema)), ["run"], most=6)
+    cyclic = edges.union(spark.createDataFrame([("r", 4, 1)], edges.schema))
+    for fits in (0, graph.FITS):
+        with pytest.raises(Exception, match="cycle"):
+            graph.longest(nodes, cyclic, ["run"], fits).collect()
+
+
+def test_long_paths_are_no_cycles(spark):
+    n = 11_000
+    nodes = spark.range(n).select(F.lit("r").alias("run"), "id", F.lit(1.5).alias("cost"))
+    edges = nodes.filter("id > 0").select("run", (F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    assert graph.longest(nodes, edges, ["run"]).agg(F.max("value")).first()[0] == 1.5 * n
+
+
+def test_rounds_and_one_pass_agree(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(run, i, float(rng.randrange(9))) for run in range(4) for i in range(12)]
+    links = [(run, a, b) for run in range(4) for b in range(12) for a in range(b) if rng.random() < 0.25] + [(0, 99, 3), (1, 2, 99)]
+    nodes, edges = spark.createDataFrame(rows, "run long, id long, cost double"), spark.createDataFrame(links, "run long, a long, b long")
+    got = [sorted(map(tuple, graph.longest(nodes, edges, ["run"], fits).collect())) for fits in (0, graph.FITS)]
+    assert got[0] == got[1] and len(got[0]) == 48
 
 
 def test_round_robin(spark):

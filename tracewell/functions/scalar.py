@@ -57,7 +57,7 @@ def repair_tool_state(state: Column) -> Column:
         (r"\\", ""),
         (r'""([^",:}\]]+)""', '"$1"'),
         (r":\s*(,|\})", ':""$1'),
-        (r'\{\s*"__class__"\s*:\s*"UnvalidatedValue"\s*,\s*"value"\s*:\s*("[^"]*")\s*\}', "$1"),
+        (r'\{\s*"__class__"\s*:\s*"UnvalidatedValue"\s*,\s*"value"\s*:\s*("[^"]*"|[^"{}]*?)\s*\}', "$1"),
         (r'"null"', '""'),
     ]
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, state)
@@ -130,6 +130,11 @@ def shutdown(shutdown_ts: Column, stage_out_ts: Column, stage_out: Column) -> Co
     return F.coalesce(shutdown_ts, zero) - F.coalesce(stage_out_ts, zero) - F.coalesce(stage_out, zero)
 
 
+def run_id(given: str | None = None) -> Column:
+    """A new run's id: the one given, else a random UUID (36 characters), another one for each row."""
+    return F.uuid() if given is None else F.lit(given)
+
+
 def clone_id(run_id: Column, millis: Column) -> Column:
     """First 36 characters, underscore, milliseconds."""
     return F.concat(F.substring(run_id, 1, 36), F.lit("_"), millis.cast("string"))

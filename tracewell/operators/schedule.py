@@ -6,6 +6,7 @@ from bisect import insort
 from collections import deque
 from collections.abc import Callable
 from heapq import nsmallest
+from random import Random
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,30 +40,33 @@ def round_robin(tasks: DataFrame, hosts: DataFrame, by: list[str], order: list[s
     return placed.join(listed, "_at").drop("_at")
 
 
-def heft_place(nodes: list[tuple], parents: dict, cost: Callable, containers: list[tuple]) -> list[tuple]:
+def heft_place(nodes: list[tuple], parents: dict, cost: Callable, containers: list[tuple], seed: int | None = None) -> list[tuple]:
     """(id, host, slot, start, finish) of nodes, given by falling upward rank: earliest finish with insertion.
 
     containers: (host, number). A gap fits if the cost is below its length. A task starts no earlier than its parents
-    end; ties go to the first container and gap.
+    end. Of containers with equal ends the first is taken, or one by chance if there is a seed.
     """
     gaps = {c: [(0.0, MAX)] for c in containers}
     done: dict = {}
     out = []
+    chance = Random(seed)
     for node in nodes:
         free = max((done.get(p, 0.0) for p in parents.get(node, ())), default=0.0)
-        best = None
+        best: list[tuple] = []
         for c in containers:
             need = cost(node, c[0])
             for g in gaps[c]:
                 start = max(free, g[0])
-                if best is not None and start + need >= best[0]:
+                if best and start + need > best[0][0]:
                     if g[0] >= free:
                         break  # later gaps of this container begin later still
                     continue
-                if need < g[1] - start:
-                    best = (start + need, c, g, start)
+                if need < g[1] - start:  # a container's first fitting gap is its earliest
+                    if best and start + need < best[0][0]:
+                        best = []
+                    best.append((start + need, c, g, start))
                     break
-        end, c, g, start = best
+        end, c, g, start = best[0] if seed is None else chance.choice(best)
         gaps[c].remove(g)
         for left in ((g[0], start), (end, g[1])):
             if left[1] > left[0]:
@@ -72,25 +76,27 @@ def heft_place(nodes: list[tuple], parents: dict, cost: Callable, containers: li
     return out
 
 
-def heft(ranked: DataFrame, edges: DataFrame, costs: DataFrame, by: str, slots: int = 1) -> DataFrame:
+def heft(ranked: DataFrame, edges: DataFrame, costs: DataFrame, by: str, slots: int = 1, seed: int | None = None) -> DataFrame:
     """(by, id, host, slot, start, finish): one group per run, since each placement depends on those before.
 
-    ranked: (by, id, name, upward_rank, depth); costs: (name, host, estimate), small: tasks by kind times hosts; they
-    travel with each run. A run's graph is one workflow and fits a worker.
+    ranked: (by, id, name, upward_rank, depth); costs: (name, host, estimate). A task's row carries the costs of its own
+    name; hosts, the nodes of a cluster, are listed on the driver. A run's graph is one workflow and fits a worker.
+    Tasks go by falling upward rank, then depth, then id.
     """
-    parents = edges.groupBy(by, F.col("b").alias("id")).agg(F.collect_list("a").alias("parents"))
-    rows = ranked.join(parents, [by, "id"], "left")
-    known = {(r["name"], r["host"]): float(r["estimate"]) for r in costs.select("name", "host", "estimate").toLocalIterator()}
-    hosts = sorted({h for _, h in known})
+    hosts = [r[0] for r in costs.select("host").distinct().orderBy("host").collect()]
     if not hosts:
         raise ValueError("no hosts are known; a static policy needs some")
+    parents = edges.groupBy(by, F.col("b").alias("id")).agg(F.collect_list("a").alias("parents"))
+    own = costs.groupBy("name").agg(F.collect_list("host").alias("_hosts"), F.collect_list(F.col("estimate").cast("double")).alias("_costs"))
+    rows = ranked.join(parents, [by, "id"], "left").join(own, "name", "left")
     containers = [(h, i) for h in hosts for i in range(slots)]
 
     def place(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values(["upward_rank", "depth", "id"], ascending=[False, True, True])
         names = dict(zip(run["id"], run["name"]))
+        known = {n: dict(zip(h, c)) for n, h, c in zip(run["name"], run["_hosts"], run["_costs"]) if h is not None}
         up = {i: list(p) for i, p in zip(run["id"], run["parents"]) if p is not None}
-        placed = heft_place(run["id"].tolist(), up, lambda i, h: known.get((names[i], h), 0.0), containers)
+        placed = heft_place(run["id"].tolist(), up, lambda i, h: known.get(names[i], {}).get(h, 0.0), containers, seed)
         return pd.DataFrame([(run[by].iloc[0], *p) for p in placed], columns=[by, "id", "host", "slot", "start", "finish"])
 
     kinds = {c: t for c, t in ranked.dtypes}

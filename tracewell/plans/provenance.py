@@ -6,9 +6,15 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from ..functions import schema as S
+from ..storage import stored
+
+#: Exit codes of containers that were released, killed or terminated: fixed values of the cluster manager and the system.
+KILLED = (-100, 137, 143)
+
 
 def complete() -> Column:
     """Host, task and run time are known."""
@@ -35,8 +41,8 @@ class Store:
         return self.invocations.join(named, "run_id", "left_semi").filter("task_id <> 0").select("task_id").distinct()
 
     def task_name(self, task_id: int) -> DataFrame:
-        """No row for an unknown task."""
-        return self.tasks.filter(F.col("task_id") == task_id).select("task_id", "task_name")
+        """No row for an unknown task, one for any other: of several names the least."""
+        return self.tasks.filter(F.col("task_id") == task_id).select("task_id", "task_name").orderBy("task_name").limit(1)
 
     def entries_for_tasks(self, ids: Iterable[int]) -> DataFrame:
         """Complete invocations of any of the tasks; none for an empty list."""
@@ -53,13 +59,13 @@ class Store:
         return found if self.files is None else with_files(found, self.files)
 
     def timed(self, name: str, ask: Callable[[], DataFrame], wf_name: str = "", quiet: str = "NOAT") -> DataFrame:
-        """Runs a question and keeps a record of its time and its number of rows, unless the workflow's name says not to."""
-        tick = time.time_ns() // 1_000_000
-        out = ask()
-        n = out.count()
+        """Runs a question once, stores its answer, and keeps a record of its time and its number of rows, unless the
+        workflow's name says not to."""
+        tick, seen = time.time_ns() // 1_000_000, Observation()
+        out = stored(ask().observe(seen, F.count(F.lit(1)).alias("rows")))
         if quiet not in wf_name:
             tock = time.time_ns() // 1_000_000
-            self.access.append(Row(function=name, wf_name=wf_name, tick=tick, tock=tock, took=tock - tick, rows=n))
+            self.access.append(Row(function=name, wf_name=wf_name, tick=tick, tock=tock, took=tock - tick, rows=seen.get["rows"]))
         return out
 
 
@@ -82,8 +88,10 @@ def with_files(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def counters(events: DataFrame, by: list[str], kind: str, exit_code: str) -> DataFrame:
-    """Containers requested, allocated, completed, and completed with an exit code other than 0."""
+    """Containers requested, allocated, completed (with success or failure), failed, and killed (exit codes KILLED)."""
     n = lambda c, name: F.count_if(c).alias(name)
-    k = F.col(kind)
-    done = k == "container-completed"
-    return events.groupBy(*by).agg(n(k == "container-requested", "requested"), n(k == "container-allocated", "allocated"), n(done & (F.col(exit_code) == 0), "completed"), n(done & (F.col(exit_code) != 0), "failed"))
+    k, code = F.col(kind), F.col(exit_code)
+    done, killed = k == S.COMPLETED, code.isin(*KILLED)
+    return events.groupBy(*by).agg(
+        n(k == S.REQUESTED, "requested"), n(k == S.ALLOCATED, "allocated"), n(done & ~killed, "completed"), n(done & ~killed & (code != 0), "failed"), n(done & killed, "killed")
+    )

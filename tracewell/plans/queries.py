@@ -342,11 +342,11 @@ def carry_forward_fill(spark, sf_dir):
     return ordered.carry_forward(rows, ["run_id"], [F.col("us"), F.col("invoc_id")], ["name"]).select("run_id", "invoc_id", "name")
 
 
-@query(f"WITH {INV} SELECT run_id, count(*) FILTER (WHERE task = 'click') AS requested, count(*) FILTER (WHERE task = 'signup') AS allocated, count(*) FILTER (WHERE task = 'view' AND real_time < 5) AS completed, count(*) FILTER (WHERE task = 'view' AND real_time >= 5) AS failed FROM inv GROUP BY run_id")
+@query(f"WITH {INV} SELECT run_id, count(*) FILTER (WHERE task = 'click') AS requested, count(*) FILTER (WHERE task = 'signup') AS allocated, count(*) FILTER (WHERE task = 'view' AND real_time < 50) AS completed, count(*) FILTER (WHERE task = 'view' AND real_time >= 5 AND real_time < 50) AS failed, count(*) FILTER (WHERE task = 'view' AND real_time >= 50) AS killed FROM inv GROUP BY run_id")
 def container_counters(spark, sf_dir):
     kinds = {"click": "container-requested", "signup": "container-allocated", "view": "container-completed"}
     kind = F.coalesce(*(F.when(F.col("task") == k, F.lit(v)) for k, v in kinds.items()))
-    rows = invocations(spark, sf_dir).withColumn("kind", kind).withColumn("code", F.when(F.col("real_time") < 5, 0).otherwise(1))
+    rows = invocations(spark, sf_dir).withColumn("kind", kind).withColumn("code", F.when(F.col("real_time") < 5, 0).when(F.col("real_time") < 50, 1).otherwise(-100))
     return provenance.counters(rows, ["run_id"], "kind", "code")
 
 
