@@ -116,6 +116,11 @@ def report(entries: DataFrame) -> DataFrame:
     return averages(invocations(expanded(cleaned(entries))), [*BY, "task_name"])
 
 
+def sorted_report(entries: DataFrame) -> DataFrame:
+    """The long form in the order of runs and task names."""
+    return report(entries).orderBy(*BY, "task_name")
+
+
 def wide_report(entries: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row for each run, six columns for each task name. Names are found by a distinct, or given."""
     return report(entries).groupBy(*BY).pivot("task_name", names).agg(*(F.first(p).alias(p) for p in PHASES))

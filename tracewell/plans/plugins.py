@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import suffix
@@ -67,20 +68,29 @@ def read_workflow(spark: SparkSession, path: str) -> Graph:
     return _languages[ending](spark, path)
 
 
+#: How a script of each foreign language is run; others can be added.
+INTERPRETERS = {"bash": ["bash", "-c"], "python": ["python3", "-c"], "perl": ["perl", "-e"], "r": ["Rscript", "-e"]}
+
+
 def run_commands(tasks: DataFrame, allow: bool = False, tries: int = 2, seconds: float = 60.0) -> DataFrame:
-    """(id, exit_code, stdout, stderr, tries) of shell commands (id, command), run on the workers: a task that fails is
-    tried again. Commands are arbitrary code, so that allow must be set."""
+    """(id, exit_code, stdout, stderr, tries) of scripts (id, command, and lang if there is such a column, else bash), run
+    on the workers: a task that fails is tried again; one in an unknown language has the exit code 127. Scripts are
+    arbitrary code, so that allow must be set."""
     if not allow:
         raise PermissionError("run_commands runs arbitrary code on the workers; set allow=True if that is meant")
 
+    known = dict(INTERPRETERS)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for i, command in zip(f["id"], f["command"]):
+            for i, command, lang in zip(f["id"], f["command"], f["lang"]):
                 for n in range(1, tries + 1):
                     try:
-                        p = subprocess.run(["bash", "-c", command], capture_output=True, text=True, timeout=seconds, check=False)
+                        p = subprocess.run([*known[lang], command], capture_output=True, text=True, timeout=seconds, check=False)
                         got = (p.returncode, p.stdout, p.stderr)
+                    except (KeyError, FileNotFoundError):
+                        got = (127, "", f"no interpreter for {lang}")
                     except subprocess.TimeoutExpired:
                         got = (-1, "", f"stopped after {seconds} s")
                     if got[0] == 0:
@@ -88,7 +98,8 @@ def run_commands(tasks: DataFrame, allow: bool = False, tries: int = 2, seconds:
                 out.append((i, *got, n))
             yield pd.DataFrame(out, columns=["id", "exit_code", "stdout", "stderr", "tries"])
 
-    return tasks.select("id", "command").mapInPandas(run, "id string, exit_code int, stdout string, stderr string, tries int")
+    lang = F.lower(F.coalesce("lang", F.lit("bash"))) if "lang" in tasks.columns else F.lit("bash")
+    return tasks.select("id", "command", lang.alias("lang")).mapInPandas(run, "id string, exit_code int, stdout string, stderr string, tries int")
 
 
 def new_nodes(stream: DataFrame) -> DataFrame:
@@ -115,13 +126,29 @@ def input_bytes(files: DataFrame, host_files: DataFrame, by: list[str]) -> DataF
     return total.join(local, by)
 
 
+def mapped_state(state: Column, mapping: dict[str, str]) -> Column:
+    """The same for JSON text: its atoms looked up, nulls left out; text that isn't JSON is null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return json.dumps(mapped_values(json.loads(t), mapping), separators=(",", ":"))
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return run(state)
+
+
 def mapped_values(value, mapping: dict):
     """A parameter tree with its atoms looked up in a mapping, and without nulls."""
     if isinstance(value, dict):
         return {k: mapped_values(v, mapping) for k, v in value.items() if v is not None}
     if isinstance(value, list):
         return [mapped_values(v, mapping) for v in value if v is not None]
-    return mapping.get(value, value)
+    return mapping.get(value, value) if isinstance(value, str) else value
 
 
 def table_parameters(tools: DataFrame, rows: DataFrame) -> DataFrame:

@@ -87,6 +87,12 @@ def with_files(found: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(nested, ["run_id", "invoc_id"], "left").withColumn("input", F.coalesce("input", empty)).withColumn("output", F.coalesce("output", empty))
 
 
+def joined(invocations: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Invocations beside their run and their task; without either they drop out."""
+    names = tasks.select("task_id", "task_name")
+    return invocations.drop("task_name", "wf_name").join(runs.select("run_id", "wf_name"), "run_id").join(names, "task_id")
+
+
 def counters(events: DataFrame, by: list[str], kind: str, exit_code: str) -> DataFrame:
     """Containers requested, allocated, completed (with success or failure), failed, and killed (exit codes KILLED)."""
     n = lambda c, name: F.count_if(c).alias(name)

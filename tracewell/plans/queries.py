@@ -11,6 +11,7 @@ from ..functions import scalar
 from ..functions.scalar import normal_quantile
 from ..operators import estimate, graph, ordered, schedule
 from ..sources import logs
+from ..streaming import live
 from . import logstats, provenance
 from .tables import graph as task_graph
 from .tables import invocations, micros, read
@@ -152,9 +153,9 @@ def complete_invocations(spark, sf_dir):
     return _store(spark, sf_dir).invocations.filter(provenance.complete()).groupBy("run_id").agg(F.count("*").alias("complete"))
 
 
-@query("SELECT s_suppkey AS host FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'")
+@query("SELECT s_suppkey AS host FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_orderkey % 50 = 7 AND l_returnflag = 'R'")
 def new_hosts_except(spark, sf_dir):
-    known = read(spark, sf_dir, "lineitem").filter("l_shipdate < timestamp_ntz'1995-02-01 00:00:00'").select(F.col("l_suppkey").alias("host")).distinct()
+    known = read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 7 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("host")).distinct()
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("host")).distinct().join(known, "host", "left_anti")
 
 
@@ -168,30 +169,6 @@ def runs_per_workflow(spark, sf_dir):
     return _store(spark, sf_dir).runs.groupBy("wf_name").agg(F.count("*").alias("runs"))
 
 
-LAST = "(l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
-
-
-def _place():
-    return F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-
-
-@query(f"SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, arg_max(l_suppkey, {LAST}) AS host, arg_max(l_quantity, {LAST}) AS real_time, count(*) AS entries FROM lineitem GROUP BY l_orderkey, l_linenumber")
-def upsert_last_wins(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.max_by("l_suppkey", _place()).alias("host"), F.max_by("l_quantity", _place()).alias("real_time"), F.count("*").alias("entries"))
-
-
-@query(f"SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, arg_min(l_partkey, {LAST}) AS task_id, arg_min(epoch_us(l_shipdate), {LAST}) AS first_us FROM lineitem GROUP BY l_orderkey, l_linenumber")
-def first_wins_timestamp(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").withColumn("us", micros("l_shipdate"))
-    return rows.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.min_by("l_partkey", _place()).alias("task_id"), F.min_by("us", _place()).alias("first_us"))
-
-
-@query("SELECT l_orderkey AS run_id, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS task_ids FROM lineitem GROUP BY l_orderkey")
-def run_task_sets(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), ",").alias("task_ids"))
-
-
 FILES = "files AS (SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, CAST(l_partkey AS VARCHAR) AS file, max(l_quantity) AS size, max(CASE WHEN l_returnflag <> 'N' THEN l_tax END) AS t_in, max(CASE WHEN l_returnflag <> 'R' THEN l_tax END) AS t_out FROM lineitem GROUP BY ALL)"
 
 
@@ -220,14 +197,7 @@ def nested_file_stats(spark, sf_dir):
 @query("WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM d WHERE n = 1")
 def dedupe_first(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("same"))
-    return docs.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
-@query(f"WITH {INV} SELECT i.run_id, i.invoc_id, i.host FROM inv i WHERE i.task = 'view' AND NOT EXISTS (SELECT 1 FROM inv e WHERE e.task = 'error' AND e.run_id = i.run_id AND e.host = i.host)")
-def anti_bad_containers(spark, sf_dir):
-    rows = invocations(spark, sf_dir)
-    bad = rows.filter("task = 'error'").select("run_id", "host").distinct()
-    return rows.filter("task = 'view'").join(bad, ["run_id", "host"], "left_anti").select("run_id", "invoc_id", "host")
+    return ordered.first_occurrences(docs, ["same"], ["doc_id"]).select("doc_id")
 
 
 ORD = ["us", "invoc_id"]
@@ -280,14 +250,6 @@ def no_task_ready_integral(spark, sf_dir):
     return _shortage(spark, sf_dir)
 
 
-@query(f"WITH {SHORT}, u AS (SELECT run_id, max(us) - min(us) AS runtime, sum(CAST(round(real_time * 1000) AS BIGINT)) // count(*) AS phase FROM inv GROUP BY run_id) SELECT w.run_id, CAST(max_concurrent * runtime - no_task_ready_us - phase AS BIGINT) AS idle_us FROM w JOIN mx ON w.run_id = mx.run_id JOIN u ON u.run_id = w.run_id")
-def idle_time(spark, sf_dir):
-    rows = invocations(spark, sf_dir).withColumn("phase", F.round(F.col("real_time") * 1000).cast("long"))
-    run = logstats.averages(rows, ["run_id"], ["phase"]).join(rows.groupBy("run_id").agg((F.max("us") - F.min("us")).alias("runtime")), "run_id")
-    all_ = run.join(_shortage(spark, sf_dir), "run_id").join(max_concurrency(spark, sf_dir), "run_id")
-    return all_.select("run_id", (F.col("max_concurrent") * F.col("runtime") - F.col("no_task_ready_us") - F.col("phase")).alias("idle_us"))
-
-
 PH = "CAST(l_quantity AS BIGINT) AS sched, CAST(round(l_discount * 100) AS BIGINT) AS startup, CAST(round(l_tax * 100) AS BIGINT) AS stage_in, CAST(round(l_extendedprice) AS BIGINT) AS exec"
 PHASES = ["sched", "startup", "stage_in", "exec"]
 
@@ -311,25 +273,12 @@ def phase_breakdown_by_task(spark, sf_dir):
     return logstats.averages(_phases(spark, sf_dir).join(part, "l_partkey"), ["task_name"], PHASES)
 
 
-@query("SELECT l_orderkey AS run_id, l_linenumber AS invoc_id, coalesce(product(l_quantity), 1.0) AS file_size FROM lineitem GROUP BY l_orderkey, l_linenumber")
-def filesize_product(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("invoc_id")).agg(F.coalesce(F.product("l_quantity"), F.lit(1.0)).alias("file_size"))
-
-
 @query(f"WITH {INV}, d AS (SELECT task, host, invoc_id, lead(real_time) OVER w - real_time AS exec_increment, lead(us) OVER w - us AS us_increment FROM inv WINDOW w AS (PARTITION BY task, host ORDER BY us, invoc_id)) SELECT task, host, invoc_id, round(exec_increment, 6) AS exec_increment, us_increment FROM d WHERE us_increment IS NOT NULL")
 def exec_increments(spark, sf_dir):
     got = ordered.increments(invocations(spark, sf_dir), ["task", "host"], ORD, {"exec_increment": "real_time", "us_increment": "us"})
     return got.select("task", "host", "invoc_id", *six("exec_increment"), "us_increment")
 
 
-TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
-@query(f"WITH {INV} SELECT run_id, " + ", ".join(f"round(avg(CASE WHEN task = '{t}' THEN real_time END), 6) AS {t}" for t in TYPES) + " FROM inv GROUP BY run_id")
-def wide_report(spark, sf_dir):
-    return invocations(spark, sf_dir).groupBy("run_id").pivot("task", TYPES).agg(F.round(F.avg("real_time"), 6))
-
-
 @query(f"WITH {INV}, b AS (SELECT run_id, invoc_id, us, host, task, last_value(CASE WHEN task = 'signup' THEN invoc_id END IGNORE NULLS) OVER (PARTITION BY run_id, host ORDER BY us, invoc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS begin_invoc_id FROM inv WHERE task IN ('signup', 'purchase')) SELECT run_id, host, begin_invoc_id, invoc_id FROM b WHERE task = 'purchase' AND begin_invoc_id IS NOT NULL")
 def latest_allocation_match(spark, sf_dir):
     got = ordered.latest_before(invocations(spark, sf_dir), ["run_id", "host"], ORD, F.col("task") == "signup", F.col("task") == "purchase", ["invoc_id"])
@@ -451,18 +400,47 @@ def heft_schedule(spark, sf_dir):
 
 @query()
 def era_replay(spark, sf_dir):
-    """Each day's invocations in turn: who asks is its host, what is ready are that day's tasks by kind."""
-    rows = invocations(spark, sf_dir).select("run_id", "invoc_id", "task", "host", "us", "real_time")
+    """Each day's invocations in turn: who asks is its host, what is ready are that day's tasks by kind. Estimates are
+    those of the days before, when the first host asks: the 20 % quantile for what is ready, the last value for copies."""
+    rows = invocations(spark, sf_dir).select("run_id", "invoc_id", "task", "host", "us", "ms", "real_time")
+    known = _days_before(rows)
+    known, rows = (x.toDF(*x.columns) for x in (known, rows))  # columns of their own
 
-    def decide(day):
+    def decide(day, before):
         import pandas as pd
 
+        if not len(day):
+            return pd.DataFrame({c: [] for c in ("run_id", "ask", "host", "task", "invoc_id", "is_replica")})
         day = day.sort_values(["us", "invoc_id"])
-        means = day.groupby(["task", "host"])["real_time"].mean().to_dict()
-        got = schedule.era_replay(list(zip(day["task"], day["invoc_id"].tolist())), day["host"].tolist(), lambda k, h, _: means.get((k, h), 0.0), 1)
+        now = float(day["ms"].iloc[0])
+        state = {(t, h): s for t, h, *s in before[["task", "host", "n", "total", "squares", "last", "at", "seen"]].itertuples(index=False)} if len(before) else {}
+
+        def guess(kind, host, copy):
+            s = state.get((kind, host))
+            return 0.0 if s is None else live.quantile(tuple(s), now, 0.5 if copy else 0.2)
+
+        got = schedule.era_replay(list(zip(day["task"], day["invoc_id"].tolist())), day["host"].tolist(), guess, 1)
         return pd.DataFrame([(day["run_id"].iloc[0], *g) for g in got], columns=["run_id", "ask", "host", "task", "invoc_id", "is_replica"])
 
-    return rows.groupBy("run_id").applyInPandas(decide, "run_id string, ask int, host long, task string, invoc_id long, is_replica boolean")
+    return rows.groupBy("run_id").cogroup(known.groupBy("run_id")).applyInPandas(decide, "run_id string, ask int, host long, task string, invoc_id long, is_replica boolean")
+
+
+def _days_before(rows: DataFrame) -> DataFrame:
+    """(run_id, task, host, n, total, squares, last, at, seen): for each day what was measured up to the day before."""
+    w = Window.partitionBy("task", "host").orderBy("us", "invoc_id")
+    dt = F.col("ms") - F.lag("ms").over(w)
+    steps = rows.withColumn("step", F.when(dt > 0, (F.col("real_time") - F.lag("real_time").over(w)) / F.sqrt(F.when(dt > 0, dt))))
+    place = F.struct("us", "invoc_id")
+    days = steps.groupBy("task", "host", F.to_date("run_id").alias("day")).agg(
+        F.count("step").alias("n"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.col("step") ** 2), F.lit(0.0)).alias("squares"),
+        F.max_by("real_time", place).alias("last"), F.max_by("ms", place).alias("at"), F.count("*").alias("seen"),
+    )
+    upto = Window.partitionBy("task", "host").orderBy("day")
+    sums = [F.sum(c).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in ("n", "total", "squares", "seen")]
+    days = days.select("task", "host", "day", *sums, "last", "at", F.lead("day").over(upto).alias("until"))
+    end = rows.agg(F.max(F.to_date("run_id"))).first()[0]
+    later = days.filter(F.col("day") < F.lit(end)).withColumn("run_id", F.explode(F.sequence(F.date_add("day", 1), F.coalesce("until", F.lit(end)))))
+    return later.select(F.col("run_id").cast("string").alias("run_id"), "task", "host", "n", "total", "squares", "last", "at", "seen")
 
 
 # scalars and shapes
@@ -473,11 +451,6 @@ def java_task_id(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", "p_name", scalar.java_task_id(F.col("p_name")).alias("task_id"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_props_extract(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-
-
 @query("SELECT o_orderkey, k AS copy, substr('run-' || CAST(o_orderkey AS VARCHAR), 1, 36) || '_' || CAST(1700000000000 + k AS VARCHAR) AS run_id FROM orders, range(3) t(k)")
 def amplified_runs(spark, sf_dir):
     runs = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"))
@@ -497,11 +470,6 @@ def env_pairs(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", pair["name"].alias("name"), pair["value"].alias("value"))
 
 
-@query("SELECT event_id, strftime(ts, '%y/%m/%d %H:%M:%S') AS shown FROM events")
-def console_dates(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yy/MM/dd HH:mm:ss").alias("shown"))
-
-
 @query("SELECT l_partkey AS file FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT p_partkey FROM part WHERE p_size > 25")
 def answer_known_files(spark, sf_dir):
     known = read(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("file"))
@@ -511,3 +479,6 @@ def answer_known_files(spark, sf_dir):
 @query("SELECT CAST(o_orderkey AS BIGINT) AS id, 'order' AS kind FROM orders UNION ALL SELECT event_id, 'event' FROM events")
 def union_logs(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind")).unionByName(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind")))
+
+
+from . import log_queries, source_queries  # noqa: E402, F401  they register theirs

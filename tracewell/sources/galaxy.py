@@ -87,9 +87,31 @@ def read_data_types(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.col("_extension").alias("extension"), parts[0].alias("module"), F.try_element_at(parts, F.lit(2)).alias("name"))
 
 
-def read_tool_list(spark: SparkSession, path: str) -> DataFrame:
-    """(file) of a tool library's configuration."""
-    return spark.read.format("xml").option("rowTag", "tool").schema("_file string").load(path).select(F.col("_file").alias("file")).filter("file is not null")
+def read_tool_list(spark: SparkSession, path: str, default_dir: str = "") -> DataFrame:
+    """(file, dir, repository, owner, revision) of a tool library's configuration: the folder is its tool_path, else the
+    default one; what a tool doesn't name is empty."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for text in f["value"]:
+                root = ElementTree.fromstring(text)
+                for tool in root.iter("tool"):
+                    of = [(tool.findtext(f".//{k}") or "").strip() for k in ("repository_name", "repository_owner", "installed_changeset_revision")]
+                    if tool.get("file"):
+                        rows.append((tool.get("file"), root.get("tool_path", default_dir), *of))
+            yield pd.DataFrame(rows, columns=["file", "dir", "repository", "owner", "revision"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "file string, dir string, repository string, owner string, revision string")
+
+
+def environments(listed: DataFrame, tools: DataFrame, dependency_dir: str, lines: DataFrame) -> DataFrame:
+    """(tool_id, line_no, line) of the env.sh files of tools' requirements, for tools (TOOL and file) whose repository,
+    owner and revision are listed; lines (path, line_no, line) are those of all env.sh files there are."""
+    named = listed.filter("repository <> '' and owner <> '' and revision <> ''")
+    needs = tools.select("tool_id", "file", F.explode("requirements").alias("r")).join(named, "file")
+    path = F.concat_ws("/", F.lit(dependency_dir), "r.name", "r.version", "owner", "repository", "revision", F.lit("env.sh"))
+    return needs.withColumn("path", path).join(lines, "path").select("tool_id", "line_no", "line")
 
 
 def workflow(steps: DataFrame, tools: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -6,10 +6,15 @@ position; that gives a total order (source, line_no) over any number of files.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions import schema as S
 from ..functions.schema import ENTRY, FIELDS
 
 #: Workflow languages by file suffix. Unlike a bare string ending the dot counts: "a.xml" is one, "axml" is none.
@@ -76,13 +81,65 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(source, path, container, is_output) of staging manifests: a count, so many lines path[,container], a count, paths."""
-    lines = read_lines(spark, path).withColumn("line", F.trim("line"))
+    return manifest_rows(read_lines(spark, path))
+
+
+def manifest_rows(lines: DataFrame) -> DataFrame:
+    """The same of lines (source, line_no, line)."""
+    lines = lines.withColumn("line", F.trim("line"))
     first = lines.filter("line_no = 1").select("source", F.col("line").cast("int").alias("n"))
     rows = lines.join(first, "source").filter("line_no > 1 and line_no <> n + 2 and line <> ''")
     parts = F.split("line", ",", 2)
     return rows.select("source", parts[0].alias("path"), F.try_element_at(parts, F.lit(2)).alias("container"), (F.col("line_no") > F.col("n") + 1).alias("is_output"))
 
 
+def manifests(files: DataFrame) -> DataFrame:
+    """(task, value) the staging manifest of each task as text, from files (task, path, container, is_output): the number
+    of inputs, their lines path[,container] by path, the number of outputs, their paths."""
+    line = F.when(F.col("container").isNull() | F.col("is_output"), F.col("path")).otherwise(F.concat("path", F.lit(","), "container"))
+    of = lambda c: F.array_sort(F.collect_list(F.when(c, line)))
+    both = files.groupBy("task").agg(of(~F.col("is_output")).alias("i"), of(F.col("is_output")).alias("o"))
+    count = lambda c: F.array(F.size(c).cast("string"))
+    return both.select("task", F.array_join(F.concat(count("i"), "i", count("o"), "o"), "\n").alias("value"))
+
+
+def write_manifests(files: DataFrame, path: str) -> None:
+    """One folder for each task (task=...), with its manifest."""
+    manifests(files).write.mode("overwrite").partitionBy("task").text(path)
+
+
+def staged(moved: DataFrame, sizes: bool = True) -> DataFrame:
+    """Entries of moved files (run_id, task_id, task_name, lang, invoc_id, file, is_output, begin, end in ms, size): the
+    time that each took, and its size if asked for, stamped with the begin."""
+    key = lambda i, o: F.when(F.col("is_output"), o).otherwise(i)
+    took = F.concat(F.lit('{"realTime":"'), (F.col("end") - F.col("begin")).cast("string"), F.lit('"}'))
+    each = [F.struct(key(S.FILE_TIME_IN, S.FILE_TIME_OUT).alias("key"), took.alias("value"))]
+    each += [F.struct(key(S.FILE_SIZE_IN, S.FILE_SIZE_OUT).alias("key"), F.col("size").cast("string").alias("value"))] if sizes else []
+    rows = moved.withColumn("e", F.explode(F.array(*each))).select(F.col("begin").alias("timestamp"), "run_id", "task_id", "task_name", "lang", "invoc_id", "file", "e.key", "e.value")
+    return rows.select(*FIELDS)
+
+
+def stage(files: DataFrame) -> DataFrame:
+    """Copies files (..., source, target: URIs) on the workers, and adds begin, end (ms) and size. A file that is copied
+    again is overwritten, so that a repeated task does no harm."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for f in frames:
+            out = []
+            for source, target in zip(f["source"], f["target"]):
+                tic = time.time_ns() // 1_000_000
+                (a, b), (x, y) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(target)
+                x.create_dir(y.rsplit("/", 1)[0], recursive=True)
+                fs.copy_files(b, y, source_filesystem=a, destination_filesystem=x)
+                out.append((tic, time.time_ns() // 1_000_000, x.get_file_info(y).size))
+            yield f.assign(**dict(zip(("begin", "end", "size"), map(list, zip(*out))))) if out else f.assign(begin=0, end=0, size=0)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in files.dtypes)
+    return files.mapInPandas(run, f"{kinds}, begin long, end long, size long")
+
+
 def read_data_table(spark: SparkSession, path: str, columns: list[str], comment: str = "") -> DataFrame:
     """Tab-separated reference table; lines that begin with the comment text are skipped, none if it is empty."""
     rows = spark.read.text(path).filter("trim(value) <> ''")
@@ -107,7 +164,19 @@ def resolved(files: DataFrame, container_dir: str, base_dir: str, app_dir: str,
     return found.withColumn("path", F.when(F.col("container").isNotNull(), own).when(F.col("_p").isNotNull(), base).otherwise(F.concat(F.lit(app_dir + "/"), "file"))).drop("_p")
 
 
-def amplified(runs: DataFrame, times: int, millis: int) -> DataFrame:
-    """runs (run_id, ...) `times` over, with ids of 36 characters, an underscore and a number that grows with the copy."""
+def amplified(runs: DataFrame, times: int, millis: int, most: int | None = None) -> DataFrame:
+    """runs (run_id, ...) `times` over, with ids of 36 characters, an underscore and a number that grows with the copy;
+    `most` copies at most, the first ones by copy and run."""
     copies = runs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    copies = copies if most is None else copies.orderBy("copy", "run_id").limit(most)
     return copies.withColumn("run_id", scalar.clone_id(F.col("run_id"), F.lit(millis) + F.col("copy")))
+
+
+def amplified_model(runs: DataFrame, invocations: DataFrame, files: DataFrame, times: int, millis: int, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """runs, invocations and files (all by run_id) of copied runs; copied invocations are stamped with the copy's time."""
+    copies = runs.withColumn("_of", F.col("run_id"))
+    copies = amplified(copies, times, millis, most)
+    ids = copies.select(F.col("_of").alias("run_id"), F.col("run_id").alias("_new"), "copy")
+    renamed = lambda df: df.join(ids, "run_id").withColumn("run_id", F.col("_new")).drop("_new")
+    stamped = renamed(invocations).withColumn("timestamp", F.lit(millis) + F.col("copy")).drop("copy")
+    return copies.drop("_of", "copy"), stamped, renamed(files).drop("copy")

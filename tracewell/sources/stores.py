@@ -37,8 +37,15 @@ def invocation_documents(entries: DataFrame) -> DataFrame:
     return own.join(texts, ["run_id", "invoc_id"], "left")
 
 
+def forget(store: Store) -> None:
+    """Gives the memory of an in_memory() store back; its views are made anew if they are asked again."""
+    for view in (store.invocations, store.runs, store.tasks, store.files):
+        if view is not None:
+            view.unpersist()
+
+
 def in_memory(entries: DataFrame) -> Store:
-    """A store of views over an event log, kept in memory and on disk as far as it fits; an invocation is stamped by its
-    run time entry and -1 before."""
+    """A store of views over an event log, kept in memory and on disk as far as it fits, until forget(); an invocation is
+    stamped by its run time entry and -1 before."""
     keep = lambda df: df.persist()
     return Store(keep(ingest.invocations(entries, "time")), keep(ingest.runs(entries)), keep(ingest.tasks(entries)), keep(ingest.files(entries)))

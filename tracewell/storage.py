@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,20 +22,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    """Deletes what is left of this process' folders, when it ends."""
+    for path, spark in list(_made.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone, or the folder
+            pass
+
+
+_made: dict[str, SparkSession] = {}
+atexit.register(_sweep)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tracewell-{uuid.uuid4().hex}"
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors. The folder goes
+    with dropped(), or when the driver's process ends."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes what stored() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if "/tracewell-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, f)
+            for path in [p for p in _made if f.endswith(p.rsplit("/", 1)[1])]:
+                del _made[path]
 
 
 def ship(spark: SparkSession) -> None:

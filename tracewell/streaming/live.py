@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +20,23 @@ def read_live(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("line", ENTRY).alias("e")).select(*(F.col(f"e.{c}").alias(c) for c in FIELDS))
 
 
-def append_to(stream: DataFrame, table: str, checkpoint: str):
-    """Appends a stream to a folder of Parquet files, each entry once; returns the query."""
-    return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+def append_to(stream: DataFrame, table: str, checkpoint: str, every: str | None = None):
+    """Appends a stream to a folder of Parquet files, each entry once; returns the writer, to be started. It looks for new
+    entries all the time, each `every` ("1 second"), or once for all that is there ("now")."""
+    writer = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+    return timed(writer, every)
+
+
+def timed(writer, every: str | None):
+    if every is None:
+        return writer
+    return writer.trigger(availableNow=True) if every == "now" else writer.trigger(processingTime=every)
+
+
+def refreshed(estimates: DataFrame, decide: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Writer of live_estimates that calls decide(estimates that changed, number of the batch) after each refresh, so that
+    a placement follows every completion."""
+    return timed(estimates.writeStream.outputMode("update").foreachBatch(decide).option("checkpointLocation", checkpoint), every)
 
 
 def refresh(mark: float | None, tasks: dict, rows: list[tuple]) -> tuple[float | None, dict, set]:
