@@ -6,12 +6,13 @@ Cleaning and matching follow file order, everything after that the order of time
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions.scalar import real_time, shutdown, startup
-from ..operators.ordered import first_occurrences, max_concurrency, positional_match, shortage_integral, skip_match
+from ..operators.ordered import max_concurrency, positional_match, shortage_integral, skip_match
+from ..storage import stored
 
 PHASES = ["sched", "startup", "stage_in", "exec", "stage_out", "shutdown"]
 BY, FILE_ORDER, TIME_ORDER = ["source"], ["line_no"], ["timestamp", "line_no"]
@@ -27,13 +28,16 @@ def _container() -> Column:
 
 def cleaned(entries: DataFrame) -> DataFrame:
     """Without repeated entries, and without containers that ended with an exit code other than 0."""
-    rows = first_occurrences(entries, [*BY, *S.FIELDS], FILE_ORDER).withColumn("type", _type())
+    # the first of equal entries, combined before the shuffle
+    rows = entries.groupBy(*BY, *S.FIELDS).agg(F.min("line_no").alias("line_no")).withColumn("type", _type())
     rows = rows.withColumn("container", F.when(F.col("type").isNotNull(), _container()))
-    bad = (F.col("type") == S.COMPLETED) & (F.get_json_object("value", "$.exit-code").try_cast("int") != 0)
-    gone = rows.filter(bad).select(*BY, "container").distinct()
-    rows = rows.filter(~F.coalesce(bad, F.lit(False)))
-    allocated = rows.filter(F.col("type") == S.ALLOCATED).join(gone, [*BY, "container"], "left_anti").select(rows.columns)
-    return rows.filter("type is null or type <> 'container-allocated'").unionByName(allocated)
+    ended = F.col("type") == S.COMPLETED
+    rows = rows.withColumn("_bad", F.coalesce(F.when(ended, F.get_json_object("value", "$.exit-code").try_cast("int") != 0), F.lit(False)))
+    # a container ends with a bad entry for all of its allocations in the run: counted over its entries alone
+    held = Window.partitionBy(*BY, "container")
+    events = rows.filter("container is not null").withColumn("_gone", F.max("_bad").over(held))
+    events = events.filter(~F.col("_bad") & ~(F.col("_gone") & (F.col("type") == S.ALLOCATED))).drop("_gone")
+    return rows.filter("container is null and not _bad").unionByName(events).drop("_bad")
 
 
 def expanded(rows: DataFrame) -> DataFrame:
@@ -42,6 +46,7 @@ def expanded(rows: DataFrame) -> DataFrame:
     A request takes the oldest waiting exec entry, if any. The n-th completion belongs to the n-th run time, and with
     it the latest allocation of its container before that run time.
     """
+    rows = stored(rows)  # read five times below
     cols = ["line_no", "invoc_id", "task_id", "task_name", "lang", "container"]
     own = ["invoc_id", "task_id", "task_name", "lang"]
     asked = skip_match(rows, BY, FILE_ORDER, F.col("key") == S.EXEC, F.col("type") == S.REQUESTED, cols)
@@ -94,7 +99,7 @@ def statistics(entries: DataFrame) -> DataFrame:
 
     idle = containers * run time - time without a ready task - the average phases. A run without invocations has no row.
     """
-    rows = expanded(cleaned(entries))
+    rows = stored(expanded(cleaned(entries)))
     kind = F.col("type")
     begins, ends = F.coalesce(kind == S.ALLOCATED, F.lit(False)), F.coalesce(kind == S.COMPLETED, F.lit(False))
     most = max_concurrency(rows, BY, TIME_ORDER, F.when(begins, 1).when(ends, -1).otherwise(0))
