@@ -47,6 +47,55 @@ def test_nearest_neighbours(spark):
         assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True) and len(got[q]) == 5
 
 
+def exact(ids, x, asked, k):
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    out = {}
+    for q in asked:
+        scores = u @ u[q]
+        scores[q] = -np.inf
+        out[int(ids[q])] = set(ids[np.argpartition(-scores, k)[:k]].tolist())
+    return out
+
+
+def test_recall_with_whole_blocks(spark):
+    """20,000 vectors in blocks of 4,096, of each of which 64 are ranked again, as the registered query does."""
+    rng = np.random.default_rng(8)
+    crowds = rng.normal(size=(300, 64))
+    x = (crowds[rng.integers(0, 300, 20_000)] + 0.6 * rng.normal(size=(20_000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x", "y") for i, v in enumerate(x)], "vec_id long, embedding array<float>, v string, leaf string").coalesce(2)
+    got = collections.defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    want = exact(np.arange(20_000), x.astype(float), range(0, 20_000, 50), 5)
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_recall_of_the_registered_query(spark):
+    import pyarrow.parquet as pq
+
+    from tracewell.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
+    ids, x = np.array(rows["vec_id"]), np.array(rows["embedding"], float)
+    want = exact(ids, x, np.flatnonzero(ids % 50 == 0), 5)
+    got = collections.defaultdict(set)
+    for r in QUERIES["op3_nearest"](spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_parts_of_the_queries_and_the_exact_way(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(ann, "ASKED", 8 * 8 * 20)  # 20 queries at a time
+    got = collections.defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 10 = 0"), again=100, rows=100).collect():
+        got[r.query_id].add(r.vec_id)
+    assert got == exact(np.arange(600), x, range(0, 600, 10), 5)
+
+
 def test_few_or_no_vectors(spark):
     one = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(one, one.filter("vec_id = 0")).collect()] == [(0, 1, 1)]

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_iter
+from .common import map_iter, stored
 
 #: Vectors that centres are learned from at most, coarse centres, rows of a block, candidates ranked again of each block.
 SAMPLE, COARSE, ROWS, AGAIN = 8_000, 256, 4_096, 64
 SUB, CENTRES, ROUNDS, THRESHOLD = 2, 16, 3, 0.2
-#: Queries whose table entries are added up at a time.
-STEP = 128
+#: Queries whose table entries are added up at a time; bytes of the queries that are broadcast at a time.
+STEP, ASKED = 128, 32 << 20
 
 
 def eta(dim: int, threshold: float = THRESHOLD) -> float:
@@ -220,6 +220,39 @@ def scan(quantiser: Quantiser, block: tuple[np.ndarray, ...], query_ids: np.ndar
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _nearest(quantiser, queries, k: int, again: int, rows: int):
+    """Batches of an index to the k best of a partition for each of the queries (both broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = queries.value
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+        def with_block(table: pa.Table) -> list[np.ndarray]:
+            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            block = (table.column("vec_id").to_numpy(), _matrix(table.column("v")), *(table.column(c).to_numpy() for c in ("leaf", "multiple", "scale")), codes)
+            a, b, c = (np.concatenate(x) for x in zip(best, scan(quantiser.value, block, ids, q, k, again)))
+            order = np.lexsort((b, -c, a))
+            begins = np.flatnonzero(np.r_[True, np.diff(a[order]) != 0])
+            nth = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)]))
+            return [x[order[nth < k]] for x in (a, b, c)]
+
+        waiting: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                waiting.append(b.slice(i, rows))
+                n += waiting[-1].num_rows
+                if n >= rows:
+                    best = with_block(pa.Table.from_batches(waiting))
+                    waiting, n = [], 0
+        if n:
+            best = with_block(pa.Table.from_batches(waiting))
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAIN, rows: int = ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by cosine, without those of its own vec_id.
 
@@ -227,8 +260,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAI
     length than the most frequent take no part. Fewer than k candidates are all returned; no vectors give no rows.
     Ties go to the smaller vec_id; of queries with one vec_id the least vector is asked; repeated rows are candidates of
     their own. Centres come from a sample of at most SAMPLE vectors, chosen by a hash of vec_id;
-    every row is indexed and scanned. Vectors and queries are dealt to blocks of about `rows` by a hash, and each
-    block of queries meets each block of vectors in a task of its own: memory is bounded whatever the input.
+    every row is indexed and scanned. Queries are broadcast, ASKED bytes of them at a time; against each such part every
+    partition scans its vectors, `rows` at a time, and sends on its k best for each query. Vectors never leave their
+    partition. `again` says how many of each `rows` are ranked again by their exact scores: with `again` = `rows` all
+    are, which is the exact search.
     """
     spark = vectors.sparkSession
     base = usable(vectors)
@@ -247,24 +282,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, again: int = AGAI
     sample = sample if sample.num_rows else base.limit(SAMPLE).toArrow()
     quantiser = learn(_unit(_matrix(sample.column("v"))))
     shared = spark.sparkContext.broadcast(quantiser)
-    blocks, query_blocks = -(-n // rows), -(-m // rows)
-
-    def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = dealt(index(base, quantiser), "block", blocks, "qblock", query_blocks)
-    right = dealt(asked, "qblock", query_blocks, "block", blocks)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows and b.num_rows:
-            codes = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-            block = (a.column("vec_id").to_numpy(), _matrix(a.column("v")), *(a.column(c).to_numpy() for c in ("leaf", "multiple", "scale")), codes)
-            found = scan(shared.value, block, b.column("vec_id").to_numpy(), _matrix(b.column("v")), k, again)
-        else:
-            found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
-
-    keys = ("block", "qblock")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    parts = -(-m * dim * 8 // ASKED)
+    indexed = index(base, quantiser) if parts == 1 else stored(index(base, quantiser))
+    asked = asked if parts == 1 else stored(asked)
+    near = empty.drop("rank")
+    for part in range(parts):
+        own = asked.filter(F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts)) == part).toArrow()
+        if own.num_rows:
+            queries_of = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), _matrix(own.column("v"))))
+            near = near.unionByName(map_iter(indexed, _nearest(shared, queries_of, k, again, rows), "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,6 +47,22 @@ def slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]
         yield start, len(sizes)
 
 
+#: A key that has more than this part of all rows is hot.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the row of table (one at most for each key) that has their keys, which aren't null.
+
+    A key with more than a HOTth of all rows (less than HOT keys, whatever the input) goes to the rows by broadcast, so
+    that no task has all rows of it; other rows go to their keys. rows are read three times, table twice: stored ones.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))  # counted before the shuffle
+    hot = stored(counts.filter(F.col("_n") > rows.count() // HOT).select(*keys))
+    few = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
+
+
 #: Bytes of an Arrow batch, so that long texts don't fill a worker's memory ten thousand at a time.
 BATCH = 4 << 20
 

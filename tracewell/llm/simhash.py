@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, map_iter, stored
+from .common import as_bytes, map_batches, map_iter, spread_join, stored
 from .components import connected_components, spanning_forest
 
 WORDS, BITS, SEGMENTS, SEED = 3, 3, 4, 42
@@ -140,10 +140,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     own = stored(fingerprints(docs, words))
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comps = connected_components(links(own, bits)).toDF("fp", "comp")
-    named = classes.join(comps, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least")
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "comp").select("fp", "component_id")
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = stored(classes.join(comps, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "least"))
+    least = stored(named.groupBy("comp").agg(F.min("least").alias("component_id")))
+    ids = stored(spread_join(named, least, ["comp"]).select("fp", "component_id"))
+    return spread_join(own, ids, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
