@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from hypothesis import given, settings
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, components, langid, line_dedup, mixing, simhash, spotsigs, token_counts
 from tracewell.llm.queries import QUERIES
 
+from .conftest import table
+
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -412,6 +415,69 @@ def test_edited_texts(spark, odd, odd_rows, empty):
     assert spotsigs.edited_likeness(empty).collect() == []
 
 
+def plain_signatures(text, common, chain=spotsigs.CHAIN):
+    """The set of signatures of a text as tuples of words: the anchor before and the content words of each chain."""
+    words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    content = [i for i, w in enumerate(words) if w not in common]
+    out = set()
+    for k, i in enumerate(content):
+        begin = content[k - 1] + 1 if k else 0
+        if begin < i and k + chain <= len(content):
+            out.add((*words[begin:i], *(words[x] for x in content[k : k + chain])))
+    return out or ({tuple(words)} if words else set())
+
+
+def test_likenesses_and_fingerprints_equal_a_plain_version(spark, odd, odd_rows):
+    rng = random.Random(12)
+    vocabulary = [*spotsigs.COMMON[:6], "Apple", "pear", "fig", "naïve", "x1", "一二"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) + rng.choice([".", "", "\n"]) for _ in range(40)]
+    more = [(100 + i, t, "en", "s") for i, t in enumerate(texts)] + [(200 + i, t, "en", "s") for i, t in enumerate(texts[:9])]
+    rows = [r for r in odd_rows if r[0] != 1] + more  # rows that stand twice have their own test
+    docs = table(spark, rows)
+    order = sorted(((-i if i is not None else math.inf, t or "") for i, t, *_ in rows))
+    for common in (list(spotsigs.COMMON), ["pear"]):
+        sets = [plain_signatures(t, common) for _, t in order]
+        like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+        want, names = {}, {}
+        for k, (i, t) in enumerate(order):
+            after = order[(k + 1) % len(order)][1]
+            edited = plain_signatures(t[: len(t) - len(t) // 2] + after[: len(t) // 2], common)
+            want[-i if i != math.inf else None] = like(sets[k], edited), like(sets[k], sets[(k + 1) % len(order)])
+            names[-i if i != math.inf else None] = frozenset(sets[k])
+        got = {r.doc_id: r for r in spotsigs.edited_likeness(docs, common=common).collect()}
+        assert {i: (r.near_edited, r.near_next) for i, r in got.items()} == {i: (pytest.approx(a), pytest.approx(b)) for i, (a, b) in want.items()}
+        # equal fingerprints where, and only where, the sets of signatures are equal
+        assert len({(got[i].fingerprint, names[i]) for i in got}) == len(set(names.values())) == len({r.fingerprint for r in got.values()})
+
+
+def test_anchors_by_document_frequency(spark):
+    rng = random.Random(1)
+    rows = [(i, "xx", " ".join(["ku", "ma", *(f"w{rng.randrange(5000)}" for _ in range(8)), "the"])) for i in range(40)]
+    rows += [(100 + i, None, f"often only {i}") for i in range(20)] + [(200 + i, "few", "rare words") for i in range(5)] + [(300, "xx", None)]
+    got = spotsigs.anchors(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert set(got) - set(spotsigs.COMMON) == {"ku", "ma", "often", "only"} and got == sorted(got)
+    assert spotsigs.anchors(spark.createDataFrame([], "lang string, text string")) == sorted(set(spotsigs.COMMON))
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1000])
+def test_many_rows_of_one_id_are_cut(spark, rows):
+    ids = [7] * 40 + [None] * 30 + list(range(20))
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    placed = spotsigs.with_next(docs, rows).collect()
+    buckets = collections.defaultdict(list)
+    for r in placed:
+        buckets[r.bucket].append((r.guest, r.doc_id is None, -(r.doc_id or 0), r.tie, r.text))
+    assert rows > 1 or max(sum(not g for g, *_ in x) for x in buckets.values()) <= 12
+    chain = {}
+    for x in buckets.values():
+        x.sort()
+        assert sum(g for g, *_ in x) == 1
+        chain |= {a[-1]: b[-1] for a, b in zip(x, x[1:])}
+    tie = {r.text: r.tie for r in placed}
+    order = [t for _, _, _, t in sorted((i is None, -(i or 0), tie[f"t{k}"], f"t{k}") for k, i in enumerate(ids))]
+    assert chain == {a: b for a, b in zip(order, order[1:] + order[:1])}
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 def test_next_document_across_buckets(spark, rows):
     ids = random.Random(rows).sample(range(-1000, 10**6), 60)
