@@ -150,3 +150,18 @@ def test_paths(spark):
 def test_amplified(spark):
     runs = spark.createDataFrame([("a" * 40,)], "run_id string")
     assert {r.run_id for r in logs.amplified(runs, 2, 100).collect()} == {"a" * 36 + "_100", "a" * 36 + "_101"}
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    lines = [f"line {i}" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    (tmp_path / "b.log").write_text("x\r\ny\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000b", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = logs.read_lines(spark, str(tmp_path / "*.log"))
+            rows = {(r.source.rsplit("/", 1)[1], r.line_no): r.line for r in got.collect()}
+            assert rows == {("a.log", i): x for i, x in enumerate(lines, 1)} | {("b.log", 1): "x", ("b.log", 2): "y"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -74,15 +74,20 @@ def split_direction(files: DataFrame) -> DataFrame:
     return files.withColumn("is_input", F.col("real_time_in").isNotNull()).withColumn("is_output", F.col("real_time_out").isNotNull())
 
 
-def with_files(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Invocations with maps input and output from file name to (size, real_time); those without files have empty maps."""
+def nested_files(files: DataFrame) -> DataFrame:
+    """(run_id, invoc_id, input, output): maps from file name to (size, real_time) of invocations that have files."""
     f = split_direction(files)
 
     def of(flag: str, took: str) -> Column:
         pairs = F.collect_list(F.when(F.col(flag), F.struct("file", F.struct("size", F.col(took).alias("real_time")))))
         return F.map_from_entries(pairs)
 
-    nested = f.groupBy("run_id", "invoc_id").agg(of("is_input", "real_time_in").alias("input"), of("is_output", "real_time_out").alias("output"))
+    return f.groupBy("run_id", "invoc_id").agg(of("is_input", "real_time_in").alias("input"), of("is_output", "real_time_out").alias("output"))
+
+
+def with_files(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Invocations with the maps of nested_files(); those without files have empty maps."""
+    nested = nested_files(files)
     empty = F.map_from_entries(F.array().cast("array<struct<file:string,v:struct<size:bigint,real_time:bigint>>>"))
     return found.join(nested, ["run_id", "invoc_id"], "left").withColumn("input", F.coalesce("input", empty)).withColumn("output", F.coalesce("output", empty))
 

@@ -186,8 +186,7 @@ def direction_split(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT run_id, invoc_id, file, CAST(size AS BIGINT) AS size FROM files WHERE t_in IS NOT NULL")
 def nested_file_stats(spark, sf_dir):
-    f = _files(spark, sf_dir)
-    nested = provenance.with_files(f.select("run_id", "invoc_id").distinct(), f)
+    nested = provenance.nested_files(_files(spark, sf_dir))
     return nested.select("run_id", "invoc_id", F.explode("input").alias("file", "stat")).select("run_id", "invoc_id", "file", F.col("stat.size").alias("size"))
 
 

@@ -1,7 +1,8 @@
 """Event logs and the small text formats around them.
 
-Spark has no line numbers. A log file is one workflow run and fits an executor, so files are read whole and split by
-position; that gives a total order (source, line_no) over any number of files.
+Spark has no line numbers. Files are read in splits; a pass over the splits counts their lines, and a line's number is
+that of the lines in the splits before it and of those before it in its own. That gives a total order (source, line_no)
+over any number of files of any size.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -22,9 +23,15 @@ LANGUAGES = {"cf": "functional", "xml": "dax", "dax": "dax", "ga": "galaxy", "lo
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line_no from 1, line) of files, in file order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-    return files.select("source", F.posexplode(F.split("value", r"\r?\n"))).select("source", (F.col("pos") + 1).cast("long").alias("line_no"), F.col("col").alias("line"))
+    """(source, line_no from 1, line) of files, in file order; blank lines count."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
+    )
+    # a split's lines are read in order, one after the other
+    splits = lines.groupBy("source", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("source", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(splits, ["source", "_block"]).select("source", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def manifest_rows(lines: DataFrame) -> DataFrame:
     """The same of lines (source, line_no, line)."""
     lines = lines.withColumn("line", F.trim("line"))
-    first = lines.filter("line_no = 1").select("source", F.col("line").cast("int").alias("n"))
+    first = lines.filter("line_no = 1").select("source", F.col("line").try_cast("int").alias("n"))
     rows = lines.join(first, "source").filter("line_no > 1 and line_no <> n + 2 and line <> ''")
     parts = F.split("line", ",", 2)
     return rows.select("source", parts[0].alias("path"), F.try_element_at(parts, F.lit(2)).alias("container"), (F.col("line_no") > F.col("n") + 1).alias("is_output"))
