@@ -22,29 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def _sweep() -> None:
     """Deletes what is left of this process' folders, when it ends."""
-    for path, spark in list(_made.items()):
+    for path, (jvm, conf) in list(_made.items()):
         try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+            _delete(jvm, conf, path)
         except Exception:  # noqa: BLE001  the session is gone, or the folder
             pass
 
 
-_made: dict[str, SparkSession] = {}
+_made: dict[str, tuple] = {}
 atexit.register(_sweep)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted when the driver's process ends."""
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    _made[path] = spark
+    _made[path] = spark._jvm, spark._jsc.hadoopConfiguration()
     return path
 
 
@@ -60,7 +59,7 @@ def dropped(df: DataFrame) -> None:
     """Deletes what stored() wrote for df, once nothing reads it any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if "/tracewell-" in f:
-            _delete(df.sparkSession, f)
+            _delete(df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration(), f)
             for path in [p for p in _made if f.endswith(p.rsplit("/", 1)[1])]:
                 del _made[path]
 
