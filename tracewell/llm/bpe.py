@@ -199,7 +199,8 @@ class Tokenizer:
         self.data = np.frombuffer(b"".join(w for w, _ in words), np.uint8)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each UTF-8 text as little-endian 32-bit integers."""
+        """Ids of each UTF-8 text as little-endian 32-bit integers; none for an empty text. Bytes that aren't UTF-8 are
+        taken as the replacement character. Of equal ranks the leftmost pair is merged first."""
         joined = b"\n".join(texts) + b"\n"
         points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le", "replace"), "<i4").copy()
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)

@@ -284,7 +284,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """docs with two more columns, which must not be among its own: the predicted language and its score."""
+    """docs with two more columns, which must not be among its own: the predicted language and its score.
+
+    Null and empty texts and those without a letter are und with score 0, as are all if the model knows no language. Equal
+    scores go to the language that comes first in the model. Repeated rows stay; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

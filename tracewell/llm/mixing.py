@@ -76,7 +76,12 @@ def rates(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS,
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it: rows taken 0 times go, the others are repeated."""
+    """docs with each row as often as the mix takes it: rows taken 0 times go, the others are repeated.
+
+    Null sources are one source, the last; null and empty texts have size 0, and rows of a source whose size is 0 go.
+    The copies of a document follow from its doc_id (null: the empty text), so that rows of one doc_id are taken equally
+    often and reruns agree. All columns are kept, whatever their names; an empty table gives an empty one.
+    """
     source, rate, copies = (fresh(docs, c) for c in ("_source", "_rate", "_copies"))
     to = targets(docs.select("source", n_words(F.col("text")).alias("size")), **{k: v for k, v in how.items() if k != "seed"})
     to = to.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))

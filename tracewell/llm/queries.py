@@ -1,4 +1,9 @@
-"""The operators' queries over the tables of a folder, and SQL for those that SQL can express."""
+"""The operators' queries over the tables of a folder, and SQL for those that SQL can express.
+
+Each applies its operator to the whole table with the operator's own parameters; what null, empty, long, tied and
+repeated rows, empty tables and clashing names give is said there. Columns of the table that an operator doesn't name
+are not read.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text (null stays null), and the number of lines that went."""
     docs = _documents(spark, sf_dir)
     removed = F.col(fresh(docs, "lines_removed")).alias("lines_removed")
     return line_dedup.line_dedup(docs).select("doc_id", "text", removed)
@@ -33,43 +39,52 @@ def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Every document's tokens, its file and its place there; null and empty texts have 0."""
     return token_counts.document_counts(_documents(spark, sf_dir), path, end_id=50_256)
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest 5 of each 50th vector; vectors that can't be compared take no part, ties go to the smaller id."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, its source's size and target, and what the mix takes of it; null is the last source."""
     return mixing.rates(_documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null and empty texts have fingerprint 0 and are linked like others."""
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; texts without a letter, null ones too, are und with score 0."""
     docs = _documents(spark, sf_dir)
     model = langid.learn(langid.sample(docs))
     return langid.identify(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores; a null text is an empty one, with the end as its one token."""
     return lm.score(_documents(spark, sf_dir))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by both views and together; null and empty texts are judged by their metadata."""
     docs = _documents(spark, sf_dir)
     return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and likenesses; null texts are empty ones."""
     return spotsigs.edited_likeness(_documents(spark, sf_dir))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Every document's number of tokens and digests of its ids and of what they decode to; null texts are empty ones."""
     return bpe.digests(_documents(spark, sf_dir), path)
 
 
