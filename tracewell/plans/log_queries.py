@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..sources import logs, replay
-from . import ingest, logstats, provenance
+from ..sources import logs, replay, stores
+from . import ingest, logstats, plugins, provenance
 from .queries import query
 from .tables import read
 
@@ -270,6 +270,31 @@ def amplified_up_to(spark, sf_dir):
     return logs.amplified(runs, 3, 1_700_000_000_000, 40).select("run_id")
 
 
+# stores
+
+
+@query(f"WITH {LINES}, n AS (SELECT source, 2 + 1 AS kinds FROM l GROUP BY source) SELECT source AS run_id, 'wf' || (r % 3) AS wf_name, CAST(kinds AS BIGINT) AS kinds FROM n JOIN (SELECT DISTINCT source, r FROM i) USING (source)")
+def run_documents(spark, sf_dir):
+    """A document for each run, with the latest event of each of the three kinds."""
+    docs = stores.run_documents(entries(spark, sf_dir))
+    return docs.select("run_id", "wf_name", F.size("events").cast("long").alias("kinds"))
+
+
+@query(f"WITH {BASE} SELECT source AS run_id, k AS invoc_id, done_ts * 0 + t + 300 + x AS \"timestamp\", 'run ' || p AS script, CAST(1 AS BIGINT) AS inputs, CAST(1 AS BIGINT) AS outputs FROM i")
+def invocation_documents(spark, sf_dir):
+    """A document for each invocation, stamped by its last entry, with maps of its files (those with a time) and texts."""
+    docs = stores.invocation_documents(entries(spark, sf_dir))
+    return docs.select("run_id", "invoc_id", "timestamp", docs["texts"][S.SCRIPT].alias("script"), F.size("input").cast("long").alias("inputs"), F.size("output").cast("long").alias("outputs"))
+
+
+@query(f"WITH {BASE} SELECT DISTINCT host FROM i")
+def hosts_of_a_store_in_memory(spark, sf_dir):
+    store: plugins.Provenance = stores.in_memory(entries(spark, sf_dir))
+    hosts = store.host_names()
+    stores.forget(store)
+    return hosts
+
+
 # replay
 
 
