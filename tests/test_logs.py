@@ -165,3 +165,15 @@ def test_line_numbers_across_splits(spark, tmp_path):
             assert rows == {("a.log", i): x for i, x in enumerate(lines, 1)} | {("b.log", 1): "x", ("b.log", 2): "y"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("name", ["log_cleaned", "log_in_time_order", "log_invocations", "log_matches", "log_report", "log_wide_report", "log_statistics"])
+def test_a_log_is_dealt_out_once_and_not_stored(spark, sf, name, monkeypatch):
+    from tracewell import storage
+    from tracewell.plans import log_queries
+    from tracewell.plans.queries import QUERIES
+
+    monkeypatch.setattr(storage, "scratch", None)
+    monkeypatch.setattr(log_queries, "DEALT", 1000)
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange rangepartitioning" in plan

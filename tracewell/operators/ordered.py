@@ -38,21 +38,28 @@ def positional_match(df: DataFrame, by: list[str], order: list[str], left: Colum
     return numbered(left, "left").join(numbered(right, "right"), [*by, "n"])
 
 
-def skip_match(df: DataFrame, by: list[str], order: list[str], push: Column, pop: Column, cols: list[str]) -> DataFrame:
-    """First in, first out, where a pop takes the oldest row that was pushed and is skipped if there is none.
+def queue_numbers(df: DataFrame, by: list[str], order: list[str], push: Column, pop: Column, name: str) -> DataFrame:
+    """First in, first out, where a pop takes the oldest row that was pushed and is skipped if there is none: the number
+    of each push, and for each pop that of the push it takes. Null for skipped pops and all other rows.
 
     The queue's length is the running sum of +1 and -1 reflected at zero: S - min(0, least S before). The k-th pop
     that finds the queue not empty takes the k-th push.
     """
     w = _order(by, order)
-    step = F.when(push, 1).when(pop, -1).otherwise(0)
-    rows = df.filter(push | pop).withColumn("_push", push).withColumn("_s", F.sum(step).over(w.rowsBetween(*_UPTO)))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("_s").over(w), F.lit(0)))
-    rows = rows.withColumn("_low", F.least(F.lit(0), F.coalesce(F.min("_s").over(w.rowsBetween(*_BEFORE)), F.lit(0))))
-    rows = rows.withColumn("_taken", ~F.col("_push") & (F.col("_before") - F.col("_low") > 0))
-    rows = rows.withColumn("n", F.sum(F.when(F.col("_push") | F.col("_taken"), 1)).over(Window.partitionBy(*by, "_push").orderBy(*order).rowsBetween(*_UPTO)))
-    side = lambda c, name: rows.filter(c).select(*by, "n", *(F.col(x).alias(f"{name}_{x}") for x in cols))
-    return side(F.col("_push"), "push").join(side(F.col("_taken"), "pop"), [*by, "n"])
+    push, pop = (F.coalesce(c, F.lit(False)) for c in (push, pop & ~F.coalesce(push, F.lit(False))))
+    rows = df.withColumn("_push", push).withColumn("_pop", pop).withColumn("_s", F.sum(F.when(F.col("_push"), 1).when(F.col("_pop"), -1).otherwise(0)).over(w.rowsBetween(*_UPTO)))
+    before = F.coalesce(F.lag("_s").over(w), F.lit(0))
+    low = F.least(F.lit(0), F.coalesce(F.min("_s").over(w.rowsBetween(*_BEFORE)), F.lit(0)))
+    rows = rows.withColumn("_taken", F.col("_pop") & (before - low > 0))
+    count = lambda c: F.when(F.col(c), F.sum(F.when(F.col(c), 1)).over(w.rowsBetween(*_UPTO)))
+    return rows.withColumn(name, F.coalesce(count("_push"), count("_taken"))).drop("_push", "_pop", "_s", "_taken")
+
+
+def skip_match(df: DataFrame, by: list[str], order: list[str], push: Column, pop: Column, cols: list[str]) -> DataFrame:
+    """Each push of queue_numbers beside the pop that takes it: push_<col> and pop_<col>."""
+    rows = queue_numbers(df.filter(push | pop).withColumn("_side", push), by, order, F.col("_side"), ~F.col("_side"), "_n")
+    side = lambda c, name: rows.filter(c).filter("_n is not null").select(*by, F.col("_n").alias("n"), *(F.col(x).alias(f"{name}_{x}") for x in cols))
+    return side(F.col("_side"), "push").join(side(~F.col("_side"), "pop"), [*by, "n"])
 
 
 def shortage_integral(df: DataFrame, by: list[str], order: list[str], ts: Column, onset: Column, delta: Column, wanted: Column, name: str) -> DataFrame:
