@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, langid, line_dedup, mixing, shingles
+from tracewell.llm import bpe, langid, line_dedup, mixing, shingles, simhash
 from tracewell.llm.common import fresh, stored
 
 #: SQL has neither the automata nor the merges; tests hold the pipeline against plain versions of its stages.
@@ -38,10 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (smallest doc_id) of each group of near duplicates: five-word shingles with a Jaccard likeness of
-    0.8 or more. Texts without a word, null ones too, are alike; rows that repeat the first doc_id stay, and rows without
+    """The first document (smallest doc_id) of each group of near duplicates: SimHash fingerprints of three-word shingles
+    that differ in at most 3 bits, or five-word shingles with a Jaccard likeness of 0.8 or more. Texts without a word, null ones too, are alike; rows that repeat the first doc_id stay, and rows without
     a doc_id."""
-    return shingles.near_dedup(docs).select(*docs.columns)
+    return shingles.near_dedup(docs, bits=simhash.BITS).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def test_near_dedup_stage_equals_all_pairs(spark, monkeypatch, many):
 def test_near_dedup_stage_of_nothing(spark, empty, odd):
     assert corpus_pipeline.near_dedup(spark, empty, "").collect() == []
     assert corpus_pipeline.near_dedup(spark, odd, "").columns == odd.columns
+
+
+def test_near_dedup_stage_links_fingerprints(spark):
+    tail = lambda i: " ".join(f"t{i}x{k}" for k in range(30))
+    texts = {i: "a b c " * 200 + tail(i) for i in (1, 2)} | {3: "d e f " * 200 + tail(3)}
+    assert (simhash.fingerprint(texts[1].encode()) ^ simhash.fingerprint(texts[2].encode())).bit_count() <= simhash.BITS
+    assert not alike(plain(texts[1]), plain(texts[2]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]

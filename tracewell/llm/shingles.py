@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import as_bytes, fresh, map_batches, map_iter, slices, spread_join, stored
 from .components import connected_components
 from .line_dedup import BASES, grams
@@ -48,13 +49,25 @@ def keys(s: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(x)], np.uint64).view(np.int64)
 
 
-def _nodes(docs: DataFrame, words: int) -> DataFrame:
+def _nodes(docs: DataFrame, words: int, bits: int | None) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x.as_py(), words) for x in as_bytes(b.column(1))]
         each = [keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array(each, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+        fps = np.fromiter((0 if bits is None else simhash.fingerprint(x.as_py()) for x in as_bytes(b.column(1))), np.uint64, b.num_rows).view(np.int64)
+        columns = [b.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array(each, pa.list_(pa.int64())), pa.array(fps)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys", "fp"])
 
-    return map_batches(docs, run, "doc_id long, node long, keys array<long>")
+    return map_batches(docs, run, "doc_id long, node long, keys array<long>, fp long")
+
+
+def _fingerprint_links(rows: DataFrame, bits: int) -> DataFrame:
+    """(a, b) links between nodes of rows (doc_id, node, fp) whose SimHash fingerprints are linked, over any number of
+    links; fingerprints of rows without a doc_id are among them."""
+    of = connected_components(simhash.links(rows, bits)).toDF("fp", "comp")
+    pairs = rows.filter("doc_id is not null").select("node", "fp").distinct()
+    named = stored(pairs.join(of, "fp", "left").select(F.coalesce("comp", "fp").alias("comp"), "node").distinct())
+    first = named.groupBy("comp").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("comp", "a")
+    return spread_join(named, stored(first), ["comp"]).filter("a <> node").select("a", F.col("node").alias("b"))
 
 
 def forest(sets: list[np.ndarray], threshold: float = LIKENESS) -> Iterator[tuple[int, int]]:
@@ -135,24 +148,28 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, threshold: floa
     return map_iter(sets.repartition("key").sortWithinPartitions("key"), _links(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = LIKENESS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = LIKENESS, bits: int | None = None) -> DataFrame:
     """(doc_id, component_id): documents that are linked, over any number of links, share the smallest doc_id of them.
 
-    Texts without a word (null ones too) are alike. Rows without a doc_id have no part; repeated rows stay repeated.
+    With bits, documents are also linked as op5_simhash does: by fingerprints that differ in at most so many bits, those
+    of rows without a doc_id in between, too. Texts without a word (null ones too) are alike. Other than that rows
+    without a doc_id have no part; repeated rows stay repeated.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = stored(_nodes(rows, words))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = stored(_nodes(rows, words, bits))
+    rows, own = rows.filter("doc_id is not null"), every.filter("doc_id is not null")
     nodes = stored(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    comps = connected_components(links(rows, nodes, words, threshold)).toDF("node", "comp")
+    edges = links(rows, nodes, words, threshold)
+    comps = connected_components(edges if bits is None else edges.union(_fingerprint_links(every, bits))).toDF("node", "comp")
     named = stored(nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least"))
     least = stored(named.groupBy("comp").agg(F.min("least").alias("component_id")))
     ids = stored(spread_join(named, least, ["comp"]).select("node", "component_id"))
     return spread_join(own.select("doc_id", "node"), ids, ["node"]).select("doc_id", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = LIKENESS) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = LIKENESS, bits: int | None = None) -> DataFrame:
     """docs without those that are not the first (smallest doc_id) of their component; all columns and all rows without
     a doc_id are kept."""
     gone = fresh(docs, "_gone")
-    later = near_duplicates(docs, words, threshold).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    later = near_duplicates(docs, words, threshold, bits).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(later, docs["doc_id"] == later[gone], "left_anti")
