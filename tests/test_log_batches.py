@@ -91,10 +91,16 @@ def test_the_log_is_that_of_entries(spark, sf):
     assert as_rows(want.to_pylist()) == as_rows(got.to_pylist())
 
 
-@pytest.mark.parametrize("name", ["log_in_time_order"])
+@pytest.mark.parametrize("name", ["log_in_time_order", "log_report"])
 def test_entries_are_neither_sorted_nor_exchanged(spark, sf, name):
     """Lineitems are sorted once; the entries that they tell, 18 times as many, never are rows of Spark."""
     from tracewell.plans.queries import QUERIES
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort ") == 1 and "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_report_comes_in_order(spark, sf, monkeypatch):
+    monkeypatch.setattr(log_queries, "DEALT", 1000)
+    rows = [(r.source, r.task_name) for r in log_queries.log_report(spark, sf).collect()]
+    assert rows == sorted(rows) and len(rows) > 1000
