@@ -91,7 +91,7 @@ def test_the_log_is_that_of_entries(spark, sf):
     assert as_rows(want.to_pylist()) == as_rows(got.to_pylist())
 
 
-@pytest.mark.parametrize("name", ["log_in_time_order", "log_invocations", "log_report", "log_wide_report"])
+@pytest.mark.parametrize("name", ["log_in_time_order", "log_invocations", "log_matches", "log_report", "log_wide_report"])
 def test_entries_are_neither_sorted_nor_exchanged(spark, sf, name):
     """Lineitems are sorted once; the entries that they tell, 18 times as many, never are rows of Spark."""
     from tracewell.plans.queries import QUERIES
